@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secrets, simhash
 
-QUERIES = {"op10_curriculum_mix": mixing.op10_curriculum_mix}
+QUERIES = {"op2_secret_scan": secrets.op2_secret_scan, "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup, "op10_curriculum_mix": mixing.op10_curriculum_mix}
 SQL = {"op10_curriculum_mix": mixing.OP10_SQL}
