@@ -32,6 +32,7 @@ ALPHABETS = (
     _COMMON + _COMMON.upper(), _COMMON + _COMMON.upper() + _DIGITS, _COMMON + _COMMON.upper() + _DIGITS + "+/", _COMMON + _COMMON.upper() + _DIGITS + "-_", _COMMON + _COMMON.upper() + _DIGITS + "+/-_=",
 )
 _RANK = [{c: i for i, c in enumerate(a)} for a in ALPHABETS]
+_ORDER = [{c: i for i, c in enumerate(sorted(a))} for a in ALPHABETS]
 
 
 def _upper(z: float) -> float:
@@ -50,9 +51,10 @@ def randomness(run: str) -> float:
     at lag 1; the least of the three, corrected for being the least (Sidak).
     """
     s = run.rstrip("=")
-    rank = next((r for r in _RANK if all(c in r for c in s)), None)
-    if rank is None or len(s) < 8:
+    which = next((i for i, r in enumerate(_RANK) if all(c in r for c in s)), None)
+    if which is None or len(s) < 8:
         return 0.0
+    rank = _RANK[which]
     v, n, size = [rank[c] for c in s], len(s), len(rank)
     cells = max(2, min(size, n // 5))
     want = [0.0] * cells
@@ -75,6 +77,8 @@ def randomness(run: str) -> float:
     turns = sum(a != b for a, b in zip(marks, marks[1:], strict=False))
     sd = math.sqrt(max(1e-9, (n - 1) * turn * (1 - turn)))
     p_runs = 2 * _upper(max(0.0, abs(turns - (n - 1) * turn) - 0.5) / sd)
+    order = _ORDER[which]
+    v = [order[c] for c in s]
     mean = sum(v) / n
     var = sum((x - mean) ** 2 for x in v)
     r = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False)) / var if var else 1.0
