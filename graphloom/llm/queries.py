@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, simhash, warc
+from . import bpe, mixing, secrets, simhash, warc
 
-QUERIES = {"op5_warc_revisits": warc.op5_warc_revisits, "op2_secret_scan": secrets.op2_secret_scan, "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup, "op10_curriculum_mix": mixing.op10_curriculum_mix}
+QUERIES = {"op7_byte_bpe": bpe.op7_byte_bpe, "op5_warc_revisits": warc.op5_warc_revisits, "op2_secret_scan": secrets.op2_secret_scan, "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup, "op10_curriculum_mix": mixing.op10_curriculum_mix}
 SQL = {"op5_warc_revisits": warc.OP5_SQL, "op10_curriculum_mix": mixing.OP10_SQL}
