@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 BUCKETS = 256
 
 
-def _save(system: fs.FileSystem, path: str, array: np.ndarray) -> None:
+def save(system: fs.FileSystem, path: str, array: np.ndarray) -> None:
     at = f"{path}.{TaskContext.get().taskAttemptId()}"
     with system.open_output_stream(at) as out:
         out.write(np.ascontiguousarray(array).tobytes())
@@ -42,7 +43,7 @@ def load(to: str, name: str, dtype: str) -> np.ndarray:
 def write(rows: DataFrame, to: str, n: int) -> int:
     """rows (key string, distinct; value binary) to files in the folder; returns the number of keys.
 
-    Keys are told apart by their xxhash64 and a second hash of 32 bits.
+    Keys are told apart by their xxhash64 and their crc32.
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,13 +57,13 @@ def write(rows: DataFrame, to: str, n: int) -> int:
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
             blob = b"".join(x[3] for x in held)
             ends = np.concatenate([[0], np.cumsum(sizes[order])]).astype(np.uint32)
-            _save(system, f"{root}/{bucket:03d}.hash", h[order])
-            _save(system, f"{root}/{bucket:03d}.check", np.concatenate([x[1] for x in held])[order])
-            _save(system, f"{root}/{bucket:03d}.ends", ends)
-            _save(system, f"{root}/{bucket:03d}.blob", np.frombuffer(b"".join(blob[a : a + k] for a, k in zip(starts[order].tolist(), sizes[order].tolist(), strict=True)), np.uint8))
+            save(system, f"{root}/{bucket:03d}.hash", h[order])
+            save(system, f"{root}/{bucket:03d}.check", np.concatenate([x[1] for x in held])[order])
+            save(system, f"{root}/{bucket:03d}.ends", ends)
+            save(system, f"{root}/{bucket:03d}.blob", np.frombuffer(b"".join(blob[a : a + k] for a, k in zip(starts[order].tolist(), sizes[order].tolist(), strict=True)), np.uint8))
 
         for b in batches:
-            of, h, c = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().view(np.uint32)
+            of, h, c = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy().astype(np.uint32)
             values = b.column(3).to_pylist()
             cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
             for x, y in zip(cuts, cuts[1:], strict=False):
@@ -81,37 +82,20 @@ def write(rows: DataFrame, to: str, n: int) -> int:
     system, root = fs.FileSystem.from_uri(to)
     system.create_dir(root, recursive=True)
     h = F.xxhash64("key")
-    rows = rows.select(F.shiftrightunsigned(h, 56).cast("int").alias("of"), h.alias("h"), F.hash("key").alias("c"), "value")
+    rows = rows.select(F.shiftrightunsigned(h, 56).cast("int").alias("of"), h.alias("h"), F.crc32(F.col("key").cast("binary")).alias("c"), "value")
     return rows.repartition(min(n, BUCKETS), "of").sortWithinPartitions("of").mapInArrow(store, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def _murmur(keys: Sequence[bytes]) -> np.ndarray:
-    """Spark's hash() of strings (seed 42): Murmur3 with the odd bytes at the end mixed singly."""
-    out = np.empty(len(keys), np.uint32)
-    m = 0xFFFFFFFF
-    for i, k in enumerate(keys):
-        h, n = 42, len(k)
-        words = [int.from_bytes(k[j : j + 4], "little") for j in range(0, n - n % 4, 4)] + [(x - 256 if x > 127 else x) & m for x in k[n - n % 4 :]]
-        for x in words:
-            x = x * 0xCC9E2D51 & m
-            x = (x << 15 | x >> 17) * 0x1B873593 & m
-            h ^= x
-            h = ((h << 13 | h >> 19) & m) * 5 + 0xE6546B64 & m
-        h ^= n
-        h = (h ^ h >> 16) * 0x85EBCA6B & m
-        h = (h ^ h >> 13) * 0xC2B2AE35 & m
-        out[i] = h ^ h >> 16
-    return out
-
-
-def find(to: str, keys: Sequence[bytes], check: bool = False) -> list[bytes | None]:
-    """The value of each key, None where there is none."""
-    h = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, len(keys))
-    out: list[bytes | None] = [None] * len(keys)
+def places(to: str, keys: Sequence[bytes]) -> np.ndarray:
+    """The place of each key among all keys by hash, -1 where it is not in the table."""
+    n = len(keys)
+    h = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, n)
+    c = np.fromiter(map(zlib.crc32, keys), np.uint32, n)
+    out = np.full(n, -1, np.int64)
     order = np.argsort(h)
     of = (h[order] >> np.uint64(56)).astype(np.int64)
-    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
-    second = _murmur(keys) if check else None
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), n]
+    start = starts(to)
     for x, y in zip(cuts, cuts[1:], strict=False):
         if x == y:
             continue
@@ -120,11 +104,44 @@ def find(to: str, keys: Sequence[bytes], check: bool = False) -> list[bytes | No
         if not len(there):
             continue
         at = np.minimum(np.searchsorted(there, h[ask]), len(there) - 1)
-        hit = there[at] == h[ask]
-        if check:
-            hit &= load(to, f"{b:03d}.check", "u4")[at] == second[ask]
+        hit = (there[at] == h[ask]) & (load(to, f"{b:03d}.check", "u4")[at] == c[ask])
+        out[ask[hit]] = start[b] + at[hit]
+    return out
+
+
+@lru_cache(maxsize=16)
+def starts(to: str) -> np.ndarray:
+    """The place of the first key of each file, and the number of keys."""
+    return np.concatenate([[0], np.cumsum([len(load(to, f"{b:03d}.hash", "u8")) for b in range(BUCKETS)])])
+
+
+def find(to: str, keys: Sequence[bytes]) -> list[bytes | None]:
+    """The value of each key, None where there is none."""
+    out: list[bytes | None] = [None] * len(keys)
+    at, start = places(to, keys), starts(to)
+    asked = np.flatnonzero(at >= 0)
+    asked = asked[np.argsort(at[asked])]
+    of = np.searchsorted(start, at[asked], "right") - 1
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        if x == y:
+            continue
+        b, ask = int(of[x]), asked[x:y]
         ends, blob = load(to, f"{b:03d}.ends", "u4"), load(to, f"{b:03d}.blob", "u1")
-        lo, hi = ends[at], ends[at + 1]
-        for i, a, e in zip(ask[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
+        own = at[ask] - start[b]
+        for i, a, e in zip(ask.tolist(), ends[own].tolist(), ends[own + 1].tolist(), strict=True):
             out[i] = blob[a:e].tobytes()
     return out
+
+
+def numbers(to: str, at: np.ndarray, dtype: str = "<i8") -> np.ndarray:
+    """Values of a fixed size, as numbers, of places in ascending order."""
+    start = starts(to)
+    of = np.searchsorted(start, at, "right") - 1
+    out = np.empty(len(at), dtype)
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        if x != y:
+            b = int(of[x])
+            out[x:y] = load(to, f"{b:03d}.blob", "u1").view(dtype)[at[x:y] - start[b]]
+    return out
