@@ -8,6 +8,8 @@ import heapq
 import json
 import re
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,12 +27,15 @@ from .common import own_dir, parts, table
 LONGEST = 48
 #: Parts of the rank map, so that a look-up passes few keys.
 RANK_PARTS = 16384
-#: Chunks that a worker remembers.
-REMEMBER = 400_000
+#: Words that a worker remembers.
+REMEMBER = 200_000
 
 #: White space as the pattern has it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-_CHUNK = re.compile(f"[{_SPACE}]+|[^{_SPACE}]+")
+#: White space other than a single space between words.
+_ODD = re.compile(f"([{_SPACE}]{{2,}}|[{_SPACE.replace(' ', '')}])")
+#: Characters of text that a worker cuts at a time.
+BLOCK = 1_000_000
 
 
 @lru_cache(maxsize=4)
@@ -71,89 +76,112 @@ def _rank_of(rank: dict[bytes, int]) -> tuple[Column, callable]:
     """The literal rank map, in parts by crc32, and its look-up."""
     held: list[dict[str, int]] = [{} for _ in range(RANK_PARTS)]
     for k, v in rank.items():
-        held[zlib.crc32(k) % RANK_PARTS][k.hex().upper()] = v
+        key = k.hex().upper()
+        held[zlib.crc32(key.encode()) % RANK_PARTS][key] = v
     maps = F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
-    return maps, lambda key, m: F.element_at(F.get(m, F.pmod(F.crc32(F.unhex(key)), F.lit(RANK_PARTS)).cast("int")), key)
+    return maps, lambda key, m: F.element_at(F.get(m, F.pmod(F.crc32(key.cast("binary")), F.lit(RANK_PARTS)).cast("int")), key)
 
 
 def encoded(words: DataFrame, rank: dict[bytes, int]) -> DataFrame:
-    """words (key string) to key, ids array<int>: a fold over (pieces, done), a merge a step.
+    """words (key string) to key, ids array<int>: a fold over (pieces, ranks of neighbours), a merge a step.
 
-    Pieces are bytes in hexadecimal; each step looks up all neighbours' ranks and
-    joins the leftmost pair of the least.
+    Pieces are bytes in hexadecimal. Each step joins the leftmost pair of the least
+    rank and looks up the two pairs that this makes.
     """
     maps, of = _rank_of(rank)
     let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    state = lambda p, done: F.struct(p.alias("p"), done.alias("done"))
+    state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
+    none = F.array().cast("array<int>")
 
     def step(s: Column, _: Column) -> Column:
-        p = s["p"]
-        near = F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), lambda a, b: of(F.concat(a, b), maps))
-
-        def join(r: Column) -> Column:
-            i = F.array_position(r, F.array_min(r)).cast("int")
-            merged = let(i, lambda j: F.concat(F.slice(p, 1, j - 1), F.array(F.concat(F.get(p, j - 1), F.get(p, j))), F.slice(p, j + 2, F.size(p))))
-            return F.when(F.array_min(r).isNull(), state(p, F.lit(True))).otherwise(state(merged, F.size(p) <= 2))
-
-        return F.when(s["done"], s).otherwise(let(near, join))
-
-    x = words.select("key", F.hex(F.col("key").cast("binary")).alias("hex"))
-    single = of(F.col("hex"), maps)
-    pieces = F.regexp_extract_all("hex", F.lit(".."), F.lit(0))
-    start = state(F.col("pieces"), F.size("pieces") < 2)
-    x = x.select("key", single.alias("single"), pieces.alias("pieces"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.size("pieces")), start, step, lambda s: F.transform(s["p"], lambda k: of(k, maps)))
+        p, r = s["p"], s["r"]
+
+        def join(x: Column) -> Column:
+            j, piece = x["j"], x["piece"]
+            before = F.when(j >= 2, F.array(of(F.concat(F.get(p, j - 2), piece), maps))).otherwise(none)
+            after = F.when(j + 1 < F.size(p), F.array(of(F.concat(piece, F.get(p, j + 1)), maps))).otherwise(none)
+            pieces = F.concat(F.slice(p, 1, j - 1), F.array(piece), F.slice(p, j + 2, F.size(p)))
+            return state(pieces, F.concat(F.slice(r, 1, F.greatest(j - 2, F.lit(0))), before, after, F.slice(r, j + 2, F.size(p))))
+
+        at = lambda j: let(F.struct(j.alias("j"), F.concat(F.get(p, j - 1), F.get(p, j)).alias("piece")), join)
+        return let(F.array_position(r, F.array_min(r)).cast("int"), lambda j: F.when(j.isNull(), s).otherwise(at(j)))
+
+    pieces = F.regexp_extract_all(F.hex(F.col("key").cast("binary")), F.lit(".."), F.lit(0))
+    x = words.select("key", of(F.hex(F.col("key").cast("binary")), maps).alias("single"), pieces.alias("pieces"))
+    near = F.zip_with(F.slice("pieces", 1, F.size("pieces") - 1), F.slice("pieces", 2, F.size("pieces")), lambda a, b: of(F.concat(a, b), maps))
+    folded = F.aggregate(F.sequence(F.lit(1), F.size("pieces")), state(F.col("pieces"), near), step, lambda s: F.transform(s["p"], lambda k: of(k, maps)))
     return x.select("key", F.when(F.col("single").isNotNull(), F.array("single")).otherwise(folded).alias("ids"))
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """Chunks that the pattern may be applied to one by one.
+def _pieces(text: str) -> tuple[list[str], list[list[str]]]:
+    """A text as (marks, runs of words), taken in turn: mark 0, run 0, mark 1, run 1, ...
 
-    Of white space before a word, the last character is apart: a space goes with
-    the word, any other stands alone; the rest is one token.
+    No token of the pattern goes across the cuts. Words of a run are apart by single
+    spaces, which go with the word that follows; a mark is other white space before
+    the run, of which a last space too goes with the word.
     """
-    lead = ""
-    found = _CHUNK.findall(text)
-    last = len(found) - 1
-    for i, c in enumerate(found):
-        if c[0] in _SPACE:
-            if i == last:
-                yield c
-            else:
-                if len(c) > 1:
-                    yield c[:-1]
-                if c[-1] == " ":
-                    lead = " "
-                else:
-                    yield c[-1]
-        else:
-            yield lead + c
-            lead = ""
+    found = _ODD.split(text)
+    return ["", *found[1::2]], [x.split(" ") if x else [] for x in found[::2]]
+
+
+def _mark(mark: str, last: bool) -> tuple[list[str], bool]:
+    """The tokens of white space between runs, and whether the next word takes a space along."""
+    if not mark or last:
+        return [mark] if mark else [], False
+    lead = mark[-1] == " "
+    return [x for x in ((mark[:-1],) if lead else (mark[:-1], mark[-1])) if x], lead
+
+
+def pieces(text: str) -> list[str]:
+    """The cut text in order; each piece may be given to the pattern by itself."""
+    marks, runs = _pieces(text)
+    out = []
+    for i, (m, r) in enumerate(zip(marks, runs, strict=True)):
+        tokens, lead = _mark(m, i == len(runs) - 1 and not r)
+        out += tokens
+        out += [f" {w}" if k or lead else w for k, w in enumerate(r)]
+    return [x for x in out if x]
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pattern = regex.compile(public_tokenizers.PATTERN)
-    seen, words = set(), set()
+    spaced: Counter[str] = Counter()  # words as they are cut, with a space before
+    words: Counter[str] = Counter()
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([w for w in words if len(w.encode()) <= LONGEST], pa.string())], names=["key"])
+        for w, n in spaced.items():
+            if w.isalpha():  # one word to the pattern
+                words[f" {w}"] += n
+            else:
+                for x in pattern.findall(f" {w}"):
+                    words[x] += n
+        kept = [(w, n) for w, n in words.items() if len(w.encode()) <= LONGEST]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["key", "n"])
 
     for b in batches:
         for x in b.column(0):
-            new = {*_pieces(x.as_py() or "")} - seen
-            seen |= new
-            for c in new:
-                words.update(pattern.findall(c))
-        if len(seen) > REMEMBER:
+            marks, runs = _pieces(x.as_py() or "")
+            for i, (m, r) in enumerate(zip(marks, runs, strict=True)):
+                tokens, lead = _mark(m, i == len(runs) - 1 and not r)
+                words.update(tokens)
+                if r and not lead:
+                    words.update(pattern.findall(r[0]))
+                    spaced.update(r[1:])
+                else:
+                    spaced.update(r)
+        if len(spaced) > REMEMBER:
             yield out()
-            seen, words = set(), set()
+            spaced, words = Counter(), Counter()
     yield out()
 
 
 def vocabulary(docs: DataFrame, path: str, to: str) -> int:
-    """The distinct words of all texts, folded, to a look-up table in the folder; returns their number."""
-    words = docs.select("text").mapInArrow(_distinct, "key string").distinct()
-    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i.cast("long")), 4, "0")), ""))
+    """The distinct words that the texts repeat, folded, to a look-up table in the folder; returns their number.
+
+    A table entry saves nothing for a word that occurs once: encode() merges it where it stands.
+    """
+    words = docs.select("text").mapInArrow(_distinct, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex((i % 256 * 256 + F.shiftright(i, 8)).cast("long")), 4, "0")), ""))  # 16 bits each, little-endian
     return lookup.write(encoded(words, ranks(path)).select("key", packed.alias("value")), to, parts(docs.sparkSession))
 
 
@@ -168,19 +196,51 @@ def encode(docs: DataFrame, path: str, to: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, rank = regex.compile(public_tokenizers.PATTERN), ranks(path)
-        known: dict[str, bytes] = {}
+        known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {"": b""})  # of words with and without a space before
+
+        def found(keys: list[bytes]) -> Iterator[bytes]:
+            for k, v in zip(keys, lookup.find(to, keys), strict=True):
+                yield v if v is not None else array("H", merge(k, rank)).tobytes()
+
+        def learn(asked: tuple[set[str], set[str]]) -> None:
+            for k, asked_, lead in zip(known, asked, (" ", ""), strict=True):
+                new = [w for w in asked_ if w not in k]
+                whole = [w for w in new if w.isalpha()]  # each one word to the pattern
+                k.update(zip(whole, found([f"{lead}{w}".encode() for w in whole]), strict=True))
+                split = {w: pattern.findall(f"{lead}{w}") for w in new if not w.isalpha()}
+                words = [*{x for s in split.values() for x in s}]
+                ids = dict(zip(words, found([x.encode() for x in words]), strict=True))
+                k.update((w, b"".join([ids[x] for x in s])) for w, s in split.items())
+
+        def block(texts: list[str]) -> list[np.ndarray]:
+            cut = [_pieces(t) for t in texts]
+            tokens = [[_mark(m, i == len(runs) - 1 and not runs[i]) for i, m in enumerate(marks)] for marks, runs in cut]
+            inner = {w for _, runs in cut for r in runs for w in r}
+            plain = {r[0] for (_, runs), t in zip(cut, tokens, strict=True) for r, (_, lead) in zip(runs, t, strict=True) if r and not lead} | {x for t in tokens for y, _ in t for x in y}
+            learn((inner, plain))
+            spaced, bare = known
+            flat = []
+            for (_, runs), t in zip(cut, tokens, strict=True):
+                out = []
+                for r, (marks, lead) in zip(runs, t, strict=True):
+                    out += [bare[x] for x in marks]
+                    if r:
+                        out.append((spaced if lead else bare)[r[0]])
+                        out += [spaced[w] for w in r[1:]]
+                flat.append(np.frombuffer(b"".join(out), "<u2").astype("<u4"))
+            return flat
+
         for b in batches:
-            texts = [x.as_py() or "" for x in b.column("text")]
-            cut = [[*_pieces(t)] for t in texts]
-            if len(known) > REMEMBER:
-                known = {}
-            new = [c for c in {c for p in cut for c in p} if c not in known]
-            split = [pattern.findall(c) for c in new]
-            words = [*{w for s in split for w in s}]
-            keys = [w.encode() for w in words]
-            ids = dict(zip(words, (v if v is not None else np.array(merge(k, rank), ">u2").tobytes() for k, v in zip(keys, lookup.find(to, keys), strict=True)), strict=True))
-            known.update((c, b"".join([ids[w] for w in s])) for c, s in zip(new, split, strict=True))
-            flat = [np.frombuffer(b"".join([known[c] for c in p]), ">u2").astype("<u4") for p in cut]
+            flat, held, size = [], [], 0
+            for x in b.column("text"):
+                held.append(x.as_py() or "")
+                size += len(held[-1])
+                if size >= BLOCK:
+                    flat += block(held)
+                    held, size = [], 0
+                    if len(known[0]) > REMEMBER:
+                        known = ({}, {"": b""})
+            flat += block(held)
             ends = np.concatenate([[0], np.cumsum([len(f) for f in flat])]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).view(np.int32) if flat else [], pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), column, pa.array([hashlib.sha256(f.tobytes()).hexdigest() for f in flat])], names=[*keep, "ids", "ids_sha256"])

@@ -35,7 +35,7 @@ def load(to: str, name: str, dtype: str) -> np.ndarray:
     if info.type == fs.FileType.NotFound or not info.size:
         return np.empty(0, dtype)
     if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(info.path, dtype, "r")
+        return np.memmap(info.path, dtype, "r").view(np.ndarray)
     with system.open_input_stream(info.path) as s:
         return np.frombuffer(s.read(), dtype)
 
@@ -86,6 +86,11 @@ def write(rows: DataFrame, to: str, n: int) -> int:
     return rows.repartition(min(n, BUCKETS), "of").sortWithinPartitions("of").mapInArrow(store, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+@lru_cache(maxsize=4096)
+def _blob(to: str, b: int) -> memoryview:
+    return memoryview(load(to, f"{b:03d}.blob", "u1"))
+
+
 def places(to: str, keys: Sequence[bytes]) -> np.ndarray:
     """The place of each key among all keys by hash, -1 where it is not in the table."""
     n = len(keys)
@@ -127,10 +132,10 @@ def find(to: str, keys: Sequence[bytes]) -> list[bytes | None]:
         if x == y:
             continue
         b, ask = int(of[x]), asked[x:y]
-        ends, blob = load(to, f"{b:03d}.ends", "u4"), load(to, f"{b:03d}.blob", "u1")
+        ends, blob = load(to, f"{b:03d}.ends", "u4"), _blob(to, b)
         own = at[ask] - start[b]
         for i, a, e in zip(ask.tolist(), ends[own].tolist(), ends[own + 1].tolist(), strict=True):
-            out[i] = blob[a:e].tobytes()
+            out[i] = bytes(blob[a:e])
     return out
 
 
