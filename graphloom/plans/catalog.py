@@ -2,5 +2,459 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ids, planstatus, text
+from ..operators import context, doctor, graph, lexicon, resolve, scopes, search, upsert, vector
+from ..sources import bundle
+from ..streaming import watch
+from .star import DOCS_SQL, EDGES_SQL, GRAPH_SQL, doc_nodes, edges, nodes, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+SEARCHES = {1: ["that", "from"], 2: ["que", "en", "doc-17"], 3: ["src3", "thing"], 4: ["the-of", "and"], 5: ["der", "fr"]}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def _searches(spark: SparkSession, some: dict[int, list[str]] | None = None) -> DataFrame:
+    return spark.createDataFrame([*(some or SEARCHES).items()], "query_id int, tokens array<string>")
+
+
+def _values(rows: dict[int, list[str]]) -> str:
+    return ", ".join(f"({k}, {list(v)!r})" for k, v in rows.items())
+
+
+def _in(items) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+
+
+# search ------------------------------------------------------------------
+
+_Q = f"q AS (SELECT * FROM (VALUES {_values(SEARCHES)}) AS v(query_id, tokens))"
+_BM25 = f"""WITH {DOCS_SQL}, {_Q},
+a AS (SELECT query_id, t.token, list_filter(string_split_regex(t.token, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS terms FROM q, unnest(tokens) AS t(token)),
+h AS (SELECT query_id, token, id, len(toks) AS dl, CASE WHEN len(terms) = 1 THEN len(list_filter(toks, lambda x: x = terms[1]))
+  ELSE len(list_filter(range(1, len(toks)), lambda i: toks[i:i + len(terms) - 1] = terms)) END AS tf FROM a, tok WHERE list_contains(toks, terms[1])),
+g AS (SELECT *, count(*) OVER (PARTITION BY query_id, token) AS df FROM h WHERE tf > 0),
+s AS (SELECT query_id, id, -sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END, 1e-300) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_len))) AS bm25 FROM g, size GROUP BY query_id, id)"""
+
+
+@query("bm25_documents", _BM25 + " SELECT query_id, id AS node_id, round(bm25, 6) + 0.0::DOUBLE AS bm25 FROM s")
+def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, docs, _, _ = doc_nodes(spark, sf_dir)
+    return search.bm25(search.postings(docs), search.corpus_size(docs), _searches(spark)).select("query_id", "node_id", F.round("bm25", 6).alias("bm25"))
+
+
+def _ranked_sql(limit: int, scope: str = "true", types: str = "true") -> str:
+    """The ranked search of 2 * limit (at least 50) candidates a query."""
+    return _BM25 + f""",
+c AS (SELECT s.*, d.node_type, d.title, d.text, d.lang, d.source, d.alias, row_number() OVER (PARTITION BY s.query_id ORDER BY round(bm25, 9), s.id) AS r FROM s JOIN d USING (id) WHERE {scope}),
+f AS (SELECT c.query_id, id, node_type, title, tokens, greatest(-bm25, 0.01)
+   + list_sum(list_transform(tokens, lambda t: (contains(lower(title), t))::INT * 2.0::DOUBLE + contains(lower(id), t)::INT * 1.5::DOUBLE + contains(lower(text), t)::INT * 0.75::DOUBLE))
+   + CASE WHEN len(tokens) > 1 AND len(list_filter(tokens, lambda t: contains(lower(title), t) OR contains(lower(id), t) OR contains(lower(text), t))) > 1
+       THEN len(list_filter(tokens, lambda t: contains(lower(title), t) OR contains(lower(id), t) OR contains(lower(text), t))) * 1.5::DOUBLE ELSE 0 END
+   + (len(list_filter(tokens, lambda t: contains(lower(lang), t))) + CASE WHEN lang = source THEN 0 ELSE len(list_filter(tokens, lambda t: contains(lower(source), t))) END) * 3.0::DOUBLE
+   + len(list_filter(tokens, lambda t: contains(lower(alias), t))) * 2.5::DOUBLE AS base FROM c JOIN q USING (query_id) WHERE r <= {max(2 * limit, 50)} AND {types}),
+b AS (SELECT query_id, id, base * CASE node_type WHEN 'concept' THEN 1.05::DOUBLE WHEN 'adr' THEN 1.1::DOUBLE WHEN 'goal' THEN 1.15::DOUBLE WHEN 'plan' THEN 1.12::DOUBLE ELSE 1 END AS score, 'match' AS reason FROM f),
+w AS (SELECT query_id, t.token FROM q, unnest(list_distinct(tokens)) AS t(token)),
+u AS (SELECT query_id, token, id, 3.5::DOUBLE AS score FROM w JOIN d ON lower(lang) = token OR lower(source) = token WHERE {scope} AND {types} QUALIFY row_number() OVER (PARTITION BY query_id, token ORDER BY id) <= 20
+   UNION ALL SELECT query_id, token, id, 3.0::DOUBLE FROM w JOIN d ON lower(alias) = token WHERE {scope} AND {types} QUALIFY row_number() OVER (PARTITION BY query_id, token ORDER BY id) <= 20),
+x AS (SELECT * FROM b UNION ALL SELECT query_id, id, max(score), 'name' FROM u GROUP BY query_id, id),
+y AS (SELECT query_id, id, round(score, 6) AS score, reason FROM x QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, reason DESC) = 1)
+SELECT query_id, id, node_type, title, y.score, reason FROM y JOIN d USING (id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY y.score DESC, id) <= {limit}"""
+
+
+def _ranked(spark: SparkSession, sf_dir: str, **opts) -> DataFrame:
+    n, docs, tags, aliases = doc_nodes(spark, sf_dir)
+    return search.ranked(n, docs, tags, aliases, _searches(spark), search.SearchOptions(limit=25, **opts))
+
+
+query("ranked_search", _ranked_sql(25))(lambda s, d: _ranked(s, d))
+query("ranked_search_types", _ranked_sql(25, types="node_type IN ('adr', 'goal')"))(lambda s, d: _ranked(s, d, include_types=("adr", "goal")))
+query("scope_filter_strict", _ranked_sql(25, scope="scope = 'src3'"))(lambda s, d: _ranked(s, d, scope="src3", scope_mode="strict"))
+query("scope_filter_hubs", _ranked_sql(25, scope="(scope = 'src3' OR id IN ('readme', 'changelog', 'roadmap', 'backlog'))"))(lambda s, d: _ranked(s, d, scope="src3", scope_mode="hubs"))
+query("scope_filter_all", _ranked_sql(25, scope="(scope = 'src3' OR scope = 'main')"))(lambda s, d: _ranked(s, d, scope="src3", scope_mode="main"))
+
+
+@query("search_all_terms", f"WITH {DOCS_SQL} SELECT id AS node_id FROM tok WHERE list_contains(toks, 'de') AND list_contains(toks, 'en')")
+def search_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, docs, _, _ = doc_nodes(spark, sf_dir)
+    index = search.postings(docs)
+    return index.where(F.col("term").isin("de", "en")).groupBy("node_id").agg(F.count_distinct("term").alias("c")).where("c = 2").select("node_id")
+
+
+@query("tag_alias_augment", f"WITH {DOCS_SQL}, {_Q}, " + """w AS (SELECT query_id, t.token FROM q, unnest(tokens) AS t(token)),
+u AS (SELECT query_id, id, 3.5 AS score FROM w JOIN d ON lower(lang) = token OR lower(source) = token QUALIFY row_number() OVER (PARTITION BY query_id, token ORDER BY id) <= 20
+  UNION ALL SELECT query_id, id, 3.0 FROM w JOIN d ON lower(alias) = token) SELECT query_id, id, max(score)::DOUBLE AS score FROM u GROUP BY ALL""")
+def tag_alias_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, _, tags, aliases = doc_nodes(spark, sf_dir)
+    return search.augmented(n, tags, aliases, _searches(spark))
+
+
+@query("workspace_merge", """WITH a AS (SELECT 'one' AS workspace, 'customer/' || c_custkey AS id, round(c_acctbal, 2) AS score FROM customer UNION ALL SELECT 'two', 'supplier/' || s_suppkey, round(s_acctbal, 2) FROM supplier)
+SELECT * FROM a ORDER BY score DESC, workspace, id LIMIT 50""")
+def workspace_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").select(F.lit(0).alias("query_id"), F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("id"), F.round("c_acctbal", 2).alias("score"))
+    b = table(spark, sf_dir, "supplier").select(F.lit(0).alias("query_id"), F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("id"), F.round("s_acctbal", 2).alias("score"))
+    return search.merged([("one", a), ("two", b)], 50).select("workspace", "id", "score")
+
+
+# query texts -------------------------------------------------------------
+
+_TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}_\-:.]+'), lambda t: t NOT IN ('', '-', '_', ':', '.'))"
+_DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_SIGNIFICANT = f"""t AS (SELECT conv_id, turn, {_TOKENS} AS tokens FROM conversations), l AS (SELECT *, list_filter(tokens, lambda t: strlen(t) > 1) AS long FROM t),
+k AS (SELECT *, list_filter(long, lambda t: t NOT IN ({_in(text.stopwords())})) AS kept FROM l),
+g AS (SELECT conv_id, turn, CASE WHEN len(kept) > 0 THEN {_DISTINCT.format('kept')} WHEN len(long) > 0 THEN {_DISTINCT.format('long')} ELSE tokens END AS sig FROM k)"""
+
+
+@query("query_tokens", f"SELECT conv_id, turn, array_to_string({_TOKENS}, ' ') AS tokens FROM conversations")
+def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(text.query_tokens(F.col("text")), " ").alias("tokens"))
+
+
+def _significant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.significant_tokens(text.query_tokens(F.col("text"))).alias("sig"))
+
+
+@query("significant_tokens", f"WITH {_SIGNIFICANT} SELECT conv_id, turn, array_to_string(sig, ' ') AS tokens FROM g")
+def significant_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _significant(spark, sf_dir).select("conv_id", "turn", F.array_join("sig", " ").alias("tokens"))
+
+
+@query("intent_flags", f"""WITH {_SIGNIFICANT} SELECT conv_id, turn, len(list_filter(sig, lambda t: t NOT IN ({_in(text.words(text.GENERIC))}))) = 0 AS generic,
+len(list_filter(sig, lambda t: t IN ({_in(text.words(text.RELEASE))}) OR regexp_matches(t, '^v[0-9]') OR (regexp_matches(t, '^[0-9.]{{3,}}$') AND contains(t, '.')))) > 0 AS release,
+len(list_filter(sig, lambda t: t IN ({_in(text.words(text.PLANNING))}))) > 0 AS planning FROM g""")
+def intent_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("sig")
+    return _significant(spark, sf_dir).select("conv_id", "turn", text.is_generic(s).alias("generic"), text.is_release(s).alias("release"), text.is_planning(s).alias("planning"))
+
+
+# graph -------------------------------------------------------------------
+
+query("graph_stats_types", f"WITH {GRAPH_SQL} SELECT node_type, count(*) AS n FROM n GROUP BY 1")(lambda s, d: graph.by_type(nodes(s, d)))
+query("graph_stats_relations", f"WITH {GRAPH_SQL} SELECT relation_type, count(*) AS n FROM e GROUP BY 1")(lambda s, d: graph.by_relation(edges(s, d)))
+query("graph_hubs", f"WITH {GRAPH_SQL}, x AS (SELECT source_id AS id FROM e UNION ALL SELECT target_id FROM e) SELECT id, count(*) AS degree, any_value(node_type) AS node_type, any_value(title) AS title FROM x JOIN n USING (id) GROUP BY id ORDER BY 2 DESC, 1 LIMIT 15")(lambda s, d: graph.hubs(nodes(s, d), edges(s, d)))
+query("explicit_degree", f"WITH e AS ({EDGES_SQL}), x AS (SELECT source_id AS id FROM e WHERE relation_type NOT LIKE 'auto\\_%' ESCAPE '\\' UNION ALL SELECT target_id FROM e WHERE relation_type NOT LIKE 'auto\\_%' ESCAPE '\\') SELECT id, count(*) AS degree FROM x GROUP BY id")(lambda s, d: graph.degrees(edges(s, d), explicit=True))
+query("orphans", f"WITH {GRAPH_SQL}, x AS (SELECT source_id AS id FROM e WHERE relation_type IN ('anchors', 'doc_links') UNION SELECT target_id FROM e WHERE relation_type IN ('anchors', 'doc_links')) SELECT id, node_type, title, file_path FROM n ANTI JOIN x USING (id)")(lambda s, d: graph.orphans(nodes(s, d), edges(s, d).where("relation_type <> 'relates_to'")))
+query("adjacency", f"WITH {GRAPH_SQL}, x AS (SELECT source_id, target_id, max(weight) AS w FROM e SEMI JOIN n a ON a.id = source_id SEMI JOIN n b ON b.id = target_id GROUP BY ALL) SELECT source_id, string_agg(target_id, ' ' ORDER BY target_id) AS targets, count(*) AS n FROM x GROUP BY source_id")(
+    lambda s, d: graph.adjacency(nodes(s, d), edges(s, d)).select("source_id", F.array_join(F.transform("targets", lambda t: t["target_id"]), " ").alias("targets"), F.size("targets").cast("long").alias("n"))
+)
+query("dangling_edges", f"WITH {GRAPH_SQL}, m AS (SELECT * FROM n WHERE node_type <> 'goal') SELECT DISTINCT source_id, target_id, relation_type FROM e WHERE source_id NOT IN (SELECT id FROM m) OR target_id NOT IN (SELECT id FROM m)")(
+    lambda s, d: graph.dangling(nodes(s, d).where("node_type <> 'goal'"), edges(s, d)).select("source_id", "target_id", "relation_type")
+)
+
+_STARTS = ["order/1", "order/7", "customer/3", "part/5"]
+
+
+@query("khop_out", f"""WITH e AS ({EDGES_SQL}), r AS (SELECT unnest([{_in(_STARTS)}]) AS root), w AS (SELECT source_id, target_id, max(weight) AS w FROM e GROUP BY ALL),
+a AS (SELECT root, target_id AS id, max(w) AS weight FROM r JOIN w ON source_id = root WHERE target_id <> root GROUP BY ALL),
+b AS (SELECT root, target_id AS id, max(weight * w) AS weight FROM a JOIN w ON source_id = a.id WHERE target_id <> root GROUP BY ALL)
+SELECT root, id, 1 AS hop, round(weight, 6) AS weight FROM a UNION ALL SELECT root, id, 2, round(weight, 6) FROM b ANTI JOIN a USING (root, id)""")
+def khop_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = spark.createDataFrame([(x,) for x in _STARTS], "root string")
+    return graph.k_hop(edges(spark, sf_dir), start, 2).select("root", "id", "hop", F.round("weight", 6).alias("weight"))
+
+
+@query("neighborhood_both", f"""WITH e AS ({EDGES_SQL}), r AS (SELECT unnest([{_in(_STARTS)}]) AS root),
+s AS (SELECT source_id AS f, target_id AS t, relation_type AS relation, weight, 'out' AS way FROM e UNION ALL SELECT target_id, source_id, relation_type, weight, 'in' FROM e),
+a AS (SELECT root, t AS id, root AS parent, relation, weight, way FROM r JOIN s ON f = root WHERE t <> root QUALIFY row_number() OVER (PARTITION BY root, t ORDER BY weight DESC, relation, way DESC) = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY weight DESC, id, relation) AS place FROM a),
+b AS (SELECT p.root, t AS id, p.id AS parent, s.relation, s.weight, s.way, p.place AS pp FROM p JOIN s ON f = p.id WHERE t <> p.root AND NOT EXISTS (SELECT 1 FROM p x WHERE x.root = p.root AND x.id = t)
+   QUALIFY row_number() OVER (PARTITION BY p.root, t ORDER BY p.place, s.weight DESC, s.relation, s.way DESC) = 1),
+o AS (SELECT root, id, 1 AS hop, parent, relation, weight, way, 0 AS pp FROM p UNION ALL SELECT root, id, 2, parent, relation, weight, way, pp FROM b),
+l AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY hop, pp, weight DESC, id, relation) AS place, count(*) OVER (PARTITION BY root) AS c FROM o)
+SELECT root, id, hop, parent, relation, weight, way, place::INT AS place, c > 200 AS truncated FROM l WHERE place <= 200""")
+def neighborhood_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = spark.createDataFrame([(x,) for x in _STARTS], "root string")
+    return graph.neighborhood(edges(spark, sf_dir), start, 2).select("root", "id", "hop", "parent", "relation", "weight", "way", "place", "truncated")
+
+
+@query("neighborhood_filtered", f"WITH {GRAPH_SQL} SELECT target_id AS id, weight FROM e JOIN n ON id = target_id WHERE source_id = 'order/1' AND relation_type NOT LIKE 'auto%' AND node_type IN ('concept', 'analysis')")
+def neighborhood_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = graph.walkable(edges(spark, sf_dir), nodes(spark, sf_dir), no_auto=True, no_symbols=True, types=("concept", "analysis"))
+    return graph.neighborhood(e, spark.createDataFrame([("order/1",)], "root string"), 1, "out").select("id", "weight")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "part")
+    nid = F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))
+    n = p.select(nid.alias("id"), F.lit("analysis").alias("node_type"), F.col("p_name").alias("title"), F.concat(F.lit("docs/parts/"), (F.col("p_partkey") % 500).cast("string"), F.lit(".md")).alias("file_path"), F.lit("main").alias("scope"))
+    return n, p.select(nid.alias("node_id"), F.explode(F.array("p_brand", F.concat_ws("-", "p_type", F.col("p_size").cast("string")), F.lit("scope:main"), F.lit("concept"))).alias("tag"))
+
+
+@query("autolink_stem", """WITH p AS (SELECT 'part/' || p_partkey AS id, p_partkey % 500 AS k FROM part)
+SELECT a.id AS source_id, b.id AS target_id, 'auto_filename' AS relation_type, 0.4::DOUBLE AS weight FROM p a JOIN p b ON a.k = b.k AND a.id < b.id""")
+def autolink_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, _ = _parts(spark, sf_dir)
+    return graph.pairs_by(n.select("id", ids.path_stem(F.col("file_path")).alias("key")), "auto_filename")
+
+
+@query("autolink_tag", """WITH p AS (SELECT 'part/' || p_partkey AS id, lower(p_type || '-' || p_size) AS k FROM part)
+SELECT DISTINCT a.id AS source_id, b.id AS target_id, 'auto_tag' AS relation_type, 0.25::DOUBLE AS weight FROM p a JOIN p b ON a.k = b.k AND a.id < b.id""")
+def autolink_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, tags = _parts(spark, sf_dir)
+    return graph.pairs_by(tags.where(F.col("tag").rlike("-[0-9]+$")).select(F.col("node_id").alias("id"), F.lower("tag").alias("key")), "auto_tag")
+
+
+@query("autolink_suggestions")
+def autolink_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, tags = _parts(spark, sf_dir)
+    return graph.suggestions(n, tags, n.where("id in ('part/1', 'part/2', 'part/77')").select("id"))
+
+
+# links -------------------------------------------------------------------
+
+_LINKS = """x AS (SELECT 'order/' || o_orderkey AS source_id, CASE o_orderkey % 6 WHEN 0 THEN c_name WHEN 1 THEN '[[customer/' || o_custkey || ']]' WHEN 2 THEN upper('cust-' || o_custkey) WHEN 3 THEN o_custkey::VARCHAR WHEN 4 THEN 'Customer/' || o_custkey ELSE 'nobody ' || o_custkey END AS raw_target,
+ o_custkey, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey)"""
+_RESOLVED = f"""WITH {_LINKS}, t AS (SELECT lower(c_name) AS k FROM customer GROUP BY 1 HAVING count(*) = 1)
+SELECT source_id, raw_target, CASE WHEN o_orderkey % 6 IN (1, 2, 3, 4) THEN 'customer/' || o_custkey WHEN o_orderkey % 6 = 0 AND lower(raw_target) IN (SELECT k FROM t) THEN 'customer/' || o_custkey END AS target_id,
+CASE o_orderkey % 6 WHEN 1 THEN 'id' WHEN 2 THEN 'alias' WHEN 3 THEN 'suffix' WHEN 4 THEN 'id' WHEN 0 THEN CASE WHEN lower(raw_target) IN (SELECT k FROM t) THEN 'title' END END AS tier FROM x"""
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    k, m = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 6
+    raw = F.when(m == 0, F.col("c_name")).when(m == 1, F.concat(F.lit("[[customer/"), k, F.lit("]]"))).when(m == 2, F.upper(F.concat(F.lit("cust-"), k))).when(m == 3, k).when(m == 4, F.concat(F.lit("Customer/"), k)).otherwise(F.concat(F.lit("nobody "), k))
+    links = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("source_id"), raw.alias("raw_target"), F.lit("relates_to").alias("relation_type"))
+    nid = F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"))
+    return resolve.resolve(links, c.select(nid.alias("id"), F.col("c_name").alias("title")), c.select(F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("alias"), nid.alias("node_id")))
+
+
+query("resolve_links", _RESOLVED)(lambda s, d: _resolved(s, d).select("source_id", "raw_target", "target_id", "tier"))
+query("pending_links", f"WITH r AS ({_RESOLVED}) SELECT DISTINCT source_id, raw_target FROM r WHERE target_id IS NULL")(lambda s, d: resolve.split(_resolved(s, d))[1].select("source_id", "raw_target"))
+
+
+@query("wiki_links", """SELECT doc_id, 'src/' || source AS target, 'S' || (doc_id % 7) AS section, lang AS alias FROM documents UNION ALL SELECT doc_id, 'plain', NULL, NULL FROM documents""")
+def wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    body = F.concat(F.lit("See [["), F.lit("src/"), "source", F.lit("#S"), (F.col("doc_id") % 7).cast("string"), F.lit(" | "), "lang", F.lit("]] and `[[no]]`\n```\n[[not]]\n```\nor [[plain]] and [[  ]]."))
+    return d.select("doc_id", F.inline(text.wiki_links(body)))
+
+
+@query("symbol_refs", """SELECT doc_id, 'demo::' || lang || '::Engine' AS path FROM documents""")
+def symbol_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("→ see symbol:demo::"), "lang", F.lit("::Engine. And `symbol:no::Way`\n```\nsymbol:fenced\n```\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.symbol_refs(body)).alias("path"))
+
+
+@query("html_links", "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(text.html_links(F.col("html"))).alias("href"))
+
+
+# scopes ------------------------------------------------------------------
+
+_ROOTS = [("p", "pages"), ("p/1", "ones"), ("article", "articles"), ("blog/2020", "old"), ("blog", "blog")]
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    parts = F.concat_ws("/", F.get(F.array(*map(F.lit, ["p", "blog", "article", "misc"])), (k % 4).cast("int")), F.when(k % 3 == 0, F.lit("2020")).otherwise((k % 2).cast("string")), k.cast("string"))
+    return table(spark, sf_dir, "pages").select(k.alias("page_id"), parts.alias("path"))
+
+
+_PATHS = "p AS (SELECT page_id, ['p', 'blog', 'article', 'misc'][page_id % 4 + 1] || '/' || CASE WHEN page_id % 3 = 0 THEN '2020' ELSE (page_id % 2)::VARCHAR END || '/' || page_id AS path FROM pages)"
+_ASSIGNED = f"WITH {_PATHS}, r(root, scope) AS (VALUES {', '.join(map(str, _ROOTS))}) SELECT page_id, path, coalesce((SELECT scope FROM r WHERE path = root OR starts_with(path, root || '/') ORDER BY length(root) DESC LIMIT 1), 'main') AS scope FROM p"
+query("scope_longest_prefix", _ASSIGNED)(lambda s, d: scopes.assign(_paths(s, d), s.createDataFrame(_ROOTS, "root string, scope string")).select("page_id", "path", "scope"))
+
+
+@query("scope_reconcile", f"SELECT page_id::VARCHAR AS id, 'blog' AS scope, scope AS expected FROM ({_ASSIGNED}) WHERE scope <> 'blog'")
+def scope_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _paths(spark, sf_dir).select(F.col("page_id").cast("string").alias("id"), F.col("path").alias("file_path"), F.lit("blog").alias("scope"))
+    return scopes.reconcile(n, spark.createDataFrame(_ROOTS, "root string, scope string"))
+
+
+@query("scope_overlaps", f"WITH r(root, scope) AS (VALUES {', '.join(map(str, _ROOTS))}) SELECT a.root AS outer_root, a.scope AS outer_scope, b.root AS inner_root, b.scope AS inner_scope FROM r a JOIN r b ON starts_with(b.root, a.root || '/')")
+def scope_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scopes.overlaps(spark.createDataFrame(_ROOTS, "root string, scope string"))
+
+
+# changes -----------------------------------------------------------------
+
+
+@query("content_hash_dups", "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_hash_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(ids.content_hash(F.col("text")).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query("incremental_diff", """SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 10 = 1 THEN 'added' WHEN doc_id % 10 = 2 THEN 'removed' WHEN doc_id % 10 = 3 THEN 'changed' ELSE 'same' END AS change FROM documents""")
+def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("k"), ids.content_hash(F.col("text")).alias("content_hash"))
+    new = d.where("k % 10 <> 2").withColumn("content_hash", F.when(F.col("k") % 10 == 3, F.lit("x")).otherwise(F.col("content_hash")))
+    return upsert.changes(d.where("k % 10 <> 1"), new)
+
+
+@query("node_upsert", """SELECT 'customer/' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS title, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'team' ELSE 'main' END AS scope,
+CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 = 0 THEN 200 ELSE 100 END::BIGINT AS created_at FROM customer""")
+def node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), k.cast("string")).alias("id"), F.col("c_name").alias("title"), F.lit("main").alias("scope"), F.lit(100).cast("long").alias("created_at"), k)
+    new = c.where("c_custkey % 3 = 0").withColumns({"title": F.upper("title"), "scope": F.when(k % 2 == 0, "team").otherwise(""), "created_at": F.lit(200).cast("long")})
+    return upsert.nodes(c.where("not (c_custkey % 3 = 0 and c_custkey % 5 = 0)").drop("c_custkey"), new.drop("c_custkey"))
+
+
+@query("edge_upsert", f"WITH e AS ({EDGES_SQL}) SELECT source_id, target_id, relation_type, CASE WHEN weight > 0.75 THEN weight / 2 ELSE weight END AS weight, 1::BIGINT AS created_at FROM e")
+def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir).withColumns({"decay_rate": F.lit(0.0), "created_at": F.lit(1).cast("long")})
+    new = e.where("weight > 0.75").withColumns({"weight": F.col("weight") / 2, "created_at": F.lit(2).cast("long")})
+    return upsert.edges(e, new).select("source_id", "target_id", "relation_type", "weight", "created_at")
+
+
+@query("alias_winner", """WITH a AS (SELECT lower(p_brand) AS alias, 'part/' || p_partkey AS node_id, (p_partkey % 2) AS k FROM part) SELECT alias, min(node_id) AS node_id FROM a WHERE k = 1 GROUP BY alias
+UNION ALL SELECT alias, min(node_id) FROM a WHERE alias NOT IN (SELECT alias FROM a WHERE k = 1) GROUP BY alias""")
+def alias_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "part").select(F.concat(F.lit(" "), "p_brand").alias("alias"), F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("node_id"), "p_partkey")
+    return upsert.aliases(a.where("p_partkey % 2 = 0").drop("p_partkey"), a.where("p_partkey % 2 = 1").drop("p_partkey"))
+
+
+@query("alias_contested", "SELECT lower(p_brand) AS alias, count(DISTINCT p_partkey) AS n, min('part/' || p_partkey) AS winner FROM part GROUP BY 1 HAVING count(DISTINCT p_partkey) > 1")
+def alias_contested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.contested(table(spark, sf_dir, "part").select(F.col("p_brand").alias("alias"), F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("node_id")))
+
+
+# texts and vectors -------------------------------------------------------
+
+
+@query("node_ids", r"""SELECT p_partkey, 'docs/' || rtrim(regexp_replace(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9._\s-]', '', 'g'), '[\s-]+', '-', 'g'), '-') AS id FROM part""")
+def node_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", ids.node_id(F.concat(F.lit("docs/"), "p_name", F.lit(" "), "p_type", F.lit(".md"))).alias("id"))
+
+
+@query("slugs", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", ids.slug(F.col("p_name")).alias("slug"))
+
+
+@query("body_mass", r"SELECT doc_id, length(regexp_replace(text, '\s', '', 'g'))::INT AS mass, CASE WHEN length(trim(text, ' ')) > 280 THEN substr(trim(text, ' '), 1, 279) || '…' ELSE trim(text, ' ') END AS excerpt FROM documents")
+def body_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.mass(F.col("text")).alias("mass"), text.excerpt(F.col("text"), 280).alias("excerpt"))
+
+
+@query("changelog_versions", "SELECT doc_id, '[' || (doc_id % 9 + 2) || '.1.0] - 2026' AS latest, (doc_id % 9 + 2) || '.1.0,' || (doc_id % 9 + 1) || '.9.0' AS versions FROM documents")
+def changelog_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 9
+    body = F.concat(F.lit("# Changelog\n## ["), (k + 2).cast("string"), F.lit(".1.0] - 2026\nx\n## [Unreleased]\n## ["), (k + 1).cast("string"), F.lit(".9.0]\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.changelog_heading(body).alias("latest"), F.array_join(text.changelog_versions(body), ",").alias("versions"))
+
+
+@query("xml_escape", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&apos;') AS xml FROM pages")
+def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.xml_escape(F.col("html")).alias("xml"))
+
+
+@query("json_paths", """SELECT event_id, props ->> '$.k' AS k FROM events""")
+def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("near_dup_jaccard", r"""WITH d AS (SELECT doc_id, md5(substr(text, 1, 40)) AS k, list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: strlen(x) > 2)) AS w FROM documents)
+SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM d a JOIN d b ON a.k = b.k AND a.doc_id < b.doc_id
+WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.55""")
+def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.md5(F.substring("text", 1, 40).cast("binary")).alias("k"))
+    p = d.toDF("a", "ta", "k").join(d.toDF("b", "tb", "k"), "k").where("a < b").select("a", "b", vector.jaccard(F.col("ta"), F.col("tb")).alias("j"))
+    return p.where("j > 0.55").select("a", "b", F.round("j", 6).alias("jaccard"))
+
+
+@query("vector_topk", """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id AS id, list_dot_product(embedding::DOUBLE[], q) AS score FROM embeddings, q) SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)::INT AS place FROM s QUALIFY place <= 10""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    return vector.top_k(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10).select("query_id", "id", F.round("score", 6).alias("score"), "place")
+
+
+# plans -------------------------------------------------------------------
+
+_STATUS = "CASE o_orderstatus WHEN 'O' THEN 'backlog' WHEN 'F' THEN 'done' WHEN 'P' THEN 'in_progress' END"
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = F.when(F.col("o_orderstatus") == "O", "- [ ] order ").when(F.col("o_orderstatus") == "F", "* [x] order ").otherwise("- wip: order ")
+    lines = table(spark, sf_dir, "orders").select("o_custkey", F.concat(mark, F.col("o_orderkey").cast("string")).alias("line"))
+    return planstatus.tasks(lines.groupBy(F.concat(F.lit("plan/"), F.col("o_custkey").cast("string")).alias("id")).agg(F.concat(F.lit("# Plan\n## Later, maybe\n"), F.array_join(F.sort_array(F.collect_list("line")), "\n")).alias("body")))
+
+
+query("plan_status_counts", f"SELECT 'plan/' || o_custkey AS id, {_STATUS} AS status, count(*) AS n FROM orders GROUP BY ALL")(lambda s, d: planstatus.counts(_tasks(s, d)))
+query("plan_overall", f"""WITH c AS (SELECT 'plan/' || o_custkey AS id, count(*) FILTER (o_orderstatus = 'O') AS b, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY ALL)
+SELECT id, CASE WHEN p > 0 THEN 'in_progress' WHEN b > 0 THEN 'backlog' WHEN f > 0 THEN 'done' ELSE 'backlog' END AS overall, b + p AS open, f AS done, 0::BIGINT AS cancelled FROM c""")(lambda s, d: planstatus.overall(_tasks(s, d)))
+
+
+# lexicon, context, bundles, health ---------------------------------------
+
+
+@query("lexicon_mentions", r"""WITH b AS (SELECT item_id, lower(text) AS t, row_number() OVER (PARTITION BY lower(array_to_string((string_split(text, ' '))[1:3], ' ')) ORDER BY item_id) AS r, lower(array_to_string((string_split(text, ' '))[1:3], ' ')) AS s FROM benchmark),
+n AS (SELECT s, min(item_id) AS i, count(*) AS c FROM b GROUP BY s), g AS (SELECT list_filter(regexp_extract_all(s, '[\p{L}\p{N}_]+(?:[-.:/''][\p{L}\p{N}_]+)*'), lambda x: x <> '') AS w, s, i FROM n WHERE c = 1),
+d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '\[[^\]\n]*\]\([^)\n]*\)', chr(1), 'g')), '[\p{L}\p{N}_]+(?:[-.:/''][\p{L}\p{N}_]+)*') AS w FROM documents)
+SELECT doc_id::VARCHAR AS id, 'item/' || i AS node_id, len(list_filter(range(1, len(d.w) + 1), lambda k: d.w[k:k + len(g.w) - 1] = g.w))::BIGINT AS n FROM d JOIN g ON list_contains(d.w, g.w[1]) AND len(list_filter(range(1, len(d.w) + 1), lambda k: d.w[k:k + len(g.w) - 1] = g.w)) > 0""")
+def lexicon_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item/"), F.col("item_id").cast("string")).alias("id"), F.lit("concept").alias("node_type"), title.alias("title"), F.lit(None).cast("string").alias("file_path"))
+    names = lexicon.surfaces(b, spark.createDataFrame([], "alias string, node_id string")).where("n = 1").select("surface", "node_id")
+    return lexicon.mentions(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body")), names, 6).select("id", "node_id", "n")
+
+
+@query("lexicon_surfaces", "SELECT lower(p_name) AS surface, 'title' AS kind, count(*) AS n, min('part/' || p_partkey) AS node_id FROM part GROUP BY 1")
+def lexicon_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, _ = _parts(spark, sf_dir)
+    return lexicon.surfaces(n.withColumn("file_path", F.lit(None).cast("string")), spark.createDataFrame([], "alias string, node_id string"))
+
+
+@query("context_pack")
+def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, docs, tags, aliases = doc_nodes(spark, sf_dir)
+    e = n.select(F.col("id").alias("source_id"), F.concat(F.lit("docs/"), "scope", F.lit("/"), F.get(F.split("id", "/"), F.lit(2))).alias("target_id"), F.lit("relates_to").alias("relation_type"), F.lit(0.9).alias("weight")).where("source_id <> target_id")
+    prompts = table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0 and conv_id % 100 = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("prompt"))
+    return context.assemble(n.withColumn("summary", F.lit(None).cast("string")), e, docs, tags, aliases, prompts, context.ContextOptions(max_tokens=1024)).drop("excerpt")
+
+
+@query("symbol_gate", r"""SELECT p_partkey, CASE WHEN contains(lower(p_name), 'a') OR contains(lower('symbol/x/' || p_name), 'a') THEN 1.8 WHEN strlen(p_name) <= 2 OR (strlen(p_name) <= 8 AND NOT contains(p_name, '_')) THEN NULL ELSE 1.0 END::DOUBLE AS factor FROM part""")
+def symbol_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", context.symbol_gate(F.col("p_name"), F.concat(F.lit("symbol/x/"), "p_name"), F.array(F.lit("a"))).alias("factor"))
+
+
+@query("bundle_export_closure", f"WITH {GRAPH_SQL}, m AS (SELECT id FROM n WHERE node_type NOT IN ('plan', 'analysis')) SELECT source_id, target_id, relation_type FROM e SEMI JOIN m a ON a.id = source_id SEMI JOIN m b ON b.id = target_id")
+def bundle_export_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = nodes(spark, sf_dir).withColumns({"scope": F.when(F.col("node_type").isin("plan", "analysis"), "other").otherwise("main"), "symbol_hash": F.lit(None).cast("long")})
+    return bundle.closure(n, edges(spark, sf_dir), scope="main", decouple=True)[1].select("source_id", "target_id", "relation_type")
+
+
+@query("doctor_findings", """SELECT 'warn' AS severity, 'pending_links' AS code, count(*) || ' links lead nowhere yet' AS message FROM orders WHERE o_orderkey % 6 = 5
+UNION ALL SELECT 'info', 'orphan_notes', count(*) || ' notes have no link of their own' FROM documents UNION ALL SELECT 'info', 'readme_not_indexed', 'the readme is no node' UNION ALL SELECT 'info', 'changelog_not_indexed', 'the changelog is no node'
+UNION ALL SELECT 'info', 'sparse_readme', 'the readme says little' UNION ALL SELECT 'info', 'sparse_changelog', 'the changelog says little' UNION ALL SELECT 'info', 'changelog_no_versions', 'the changelog names no version'
+UNION ALL SELECT 'warn', 'scope_db_mode_mismatch', count(*) || ' nodes of other scopes in single mode' FROM documents""")
+def doctor_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, docs, _, _ = doc_nodes(spark, sf_dir)
+    pending = table(spark, sf_dir, "orders").where("o_orderkey % 6 = 5").select(F.lit("x").alias("source_id"))
+    none = spark.createDataFrame([], "source_id string, target_id string, relation_type string, weight double")
+    return doctor.findings(doctor.counts(n, none, docs, pending))
+
+
+@query("session_gap_sync", """WITH l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
+def session_gap_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watch.bursts(table(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
+
+
+query("session_gap_lag", SQL["session_gap_sync"])(lambda s, d: watch.bursts_by_lag(table(s, d, "events"), "user_id", "ts", 6 * 3600))
+
+
+@query("version_order", "SELECT p_partkey, (p_size > 9)::BOOLEAN AS newer FROM part")
+def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".0"))
+    return table(spark, sf_dir, "part").select("p_partkey", (ids.version_key(v) > ids.version_key(F.lit("1.9.0"))).alias("newer"))
+
