@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: 64-bit words of the upper bits from one entry of the directory to the next.
-SPAN = 8
+SPAN = 2
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -73,19 +73,25 @@ class EliasFano:
         return (high << self.bits) | (self.low[i].astype(np.int64) if self.bits else 0)
 
     def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Where in [begin, end) each value is, or -1: its first successor of the same upper part, then on by low bits."""
+        """Where in [begin, end) each value is, or -1: among those of the same upper part, the successor by low bits."""
         value = value.astype(np.int64)
         high, low = value >> self.bits, value & ((1 << self.bits) - 1)
-        first = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0)
-        last = self._select(high, False) - high
-        at, last = np.maximum(first, begin), np.minimum(last, end)
+        before = np.maximum(high - 1, 0)
+        bit = np.where(high > 0, self._select(before, False) + 1, 0)  # where the ones of this upper part begin
+        at = bit - high
         out = np.full(len(value), -1, np.int64)
-        live = np.flatnonzero(at < last)
-        while len(live):
-            here = self.low[at[live]].astype(np.int64) if self.bits else np.zeros(len(live), np.int64)
-            hit = here == low[live]
-            out[live[hit]] = at[live[hit]]
-            live = live[here < low[live]]
-            at[live] += 1
-            live = live[at[live] < last[live]]
+        one = (self.upper[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        live = np.flatnonzero(one)  # the others' upper part has no values
+        last = np.minimum(self._select(high[live], False) - high[live], end[live])
+        lo, hi = at[live], last
+        want = low[live]
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            less = (self.low[np.minimum(mid, self.n - 1)] < want) & open_ if self.bits else np.zeros(len(lo), bool)
+            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        here = np.minimum(lo, self.n - 1)
+        hit = (lo >= begin[live]) & (lo < last)
+        if self.bits:
+            hit &= self.low[here] == want
+        out[live[hit]] = lo[hit]
         return out

@@ -198,7 +198,10 @@ class Model:
                 continue
             pointers, successors, prob, lam = level
             own_c = c[x:y] - r * self.width
-            at = successors.find(own_c * wide + np.maximum(t[x:y], 0), pointers.get(own_c), pointers.get(own_c + 1))
+            each = np.flatnonzero(np.concatenate([[True], own_c[1:] != own_c[:-1]]))
+            times = np.diff(np.concatenate([each, [len(own_c)]]))
+            begin, end = (np.repeat(pointers.get(own_c[each] + k), times) for k in (0, 1))
+            at = successors.find(own_c * wide + np.maximum(t[x:y], 0), begin, end)
             hit = (at >= 0) & (t[x:y] >= 0)
             found[x:y] = hit
             q[x:y] = np.where(hit, prob[np.maximum(at, 0)], lam[own_c]) / -float(STEP)
