@@ -22,8 +22,10 @@ def bursts(events: DataFrame, key: str, ts: str, gap: str, late: str = "1 hour")
     On a stream a burst is given out once the watermark, `late` behind the newest
     event, is past its end; state is a row an open burst.
     """
-    e = events.withWatermark(ts, late) if events.isStreaming else events
-    return e.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"), F.min(ts).alias("started"), F.max(ts).alias("ended")).select(key, "started", "ended", "n")
+    kind = events.schema[ts].dataType
+    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events  # watermarks need an instant
+    out = e.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n"), F.min(ts).alias("started"), F.max(ts).alias("ended"))
+    return out.select(key, F.col("started").cast(kind), F.col("ended").cast(kind), "n")
 
 
 def bursts_by_lag(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
