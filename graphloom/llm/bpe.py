@@ -29,6 +29,7 @@ LONGEST = 48
 RANK_PARTS = 16384
 #: Words that a worker remembers.
 REMEMBER = 200_000
+_NONE = 1 << 40
 
 #: White space as the pattern has it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -45,10 +46,20 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
-    """Ids of a word: the pair of least rank, leftmost first, is merged until none is known. O(n log n)."""
+    """Ids of a word: the pair of least rank, leftmost first, is merged until none is known; long words with a heap, in O(n log n)."""
     if (whole := rank.get(word)) is not None:
         return [whole]
     n = len(word)
+    if n <= 2 * LONGEST:
+        at, near = [*range(n + 1)], [rank.get(word[i : i + 2], _NONE) for i in range(n - 1)]
+        while near and (least := min(near)) < _NONE:
+            i = near.index(least)
+            del at[i + 1], near[i]
+            if i < len(near):
+                near[i] = rank.get(word[at[i] : at[i + 2]], _NONE)
+            if i:
+                near[i - 1] = rank.get(word[at[i - 1] : at[i + 1]], _NONE)
+        return [rank[word[a:b]] for a, b in zip(at, at[1:], strict=False)]
     start, end, back, live = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -93,24 +104,28 @@ def encoded(words: DataFrame, rank: dict[bytes, int]) -> DataFrame:
     state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
     none = F.array().cast("array<int>")
 
-    def step(s: Column, _: Column) -> Column:
-        p, r = s["p"], s["r"]
+    def folded(m: Column, pieces: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            p, r = s["p"], s["r"]
 
-        def join(x: Column) -> Column:
-            j, piece = x["j"], x["piece"]
-            before = F.when(j >= 2, F.array(of(F.concat(F.get(p, j - 2), piece), maps))).otherwise(none)
-            after = F.when(j + 1 < F.size(p), F.array(of(F.concat(piece, F.get(p, j + 1)), maps))).otherwise(none)
-            pieces = F.concat(F.slice(p, 1, j - 1), F.array(piece), F.slice(p, j + 2, F.size(p)))
-            return state(pieces, F.concat(F.slice(r, 1, F.greatest(j - 2, F.lit(0))), before, after, F.slice(r, j + 2, F.size(p))))
+            def join(x: Column) -> Column:
+                j, piece = x["j"], x["piece"]
+                before = F.when(j >= 2, F.array(of(F.concat(F.get(p, j - 2), piece), m))).otherwise(none)
+                after = F.when(j + 1 < F.size(p), F.array(of(F.concat(piece, F.get(p, j + 1)), m))).otherwise(none)
+                joined = F.concat(F.slice(p, 1, j - 1), F.array(piece), F.slice(p, j + 2, F.size(p)))
+                return state(joined, F.concat(F.slice(r, 1, F.greatest(j - 2, F.lit(0))), before, after, F.slice(r, j + 2, F.size(p))))
 
-        at = lambda j: let(F.struct(j.alias("j"), F.concat(F.get(p, j - 1), F.get(p, j)).alias("piece")), join)
-        return let(F.array_position(r, F.array_min(r)).cast("int"), lambda j: F.when(j.isNull(), s).otherwise(at(j)))
+            at = lambda j: let(F.struct(j.alias("j"), F.concat(F.get(p, j - 1), F.get(p, j)).alias("piece")), join)
+            return let(F.array_position(r, F.array_min(r)).cast("int"), lambda j: F.when(j.isNull(), s).otherwise(at(j)))
 
-    pieces = F.regexp_extract_all(F.hex(F.col("key").cast("binary")), F.lit(".."), F.lit(0))
-    x = words.select("key", of(F.hex(F.col("key").cast("binary")), maps).alias("single"), pieces.alias("pieces"))
-    near = F.zip_with(F.slice("pieces", 1, F.size("pieces") - 1), F.slice("pieces", 2, F.size("pieces")), lambda a, b: of(F.concat(a, b), maps))
-    folded = F.aggregate(F.sequence(F.lit(1), F.size("pieces")), state(F.col("pieces"), near), step, lambda s: F.transform(s["p"], lambda k: of(k, maps)))
-    return x.select("key", F.when(F.col("single").isNotNull(), F.array("single")).otherwise(folded).alias("ids"))
+        near = F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), F.slice(pieces, 2, F.size(pieces)), lambda a, b: of(F.concat(a, b), m))
+        return F.aggregate(F.sequence(F.lit(1), F.size(pieces)), state(pieces, near), step, lambda s: F.transform(s["p"], lambda k: of(k, m)))
+
+    def word(m: Column) -> Column:
+        whole = F.hex(F.col("key").cast("binary"))
+        return let(of(whole, m), lambda id_: F.when(id_.isNotNull(), F.array(id_)).otherwise(let(F.regexp_extract_all(whole, F.lit(".."), F.lit(0)), lambda p: folded(m, p))))
+
+    return words.select("key", let(maps, word).alias("ids"))  # the map stands once in the plan
 
 
 def _pieces(text: str) -> tuple[list[str], list[list[str]]]:

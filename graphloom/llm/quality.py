@@ -155,9 +155,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: int = LEARN, cells: int = C
     if picked is None:
         return Machine(math.log((share + 1e-6) / (1 - share + 1e-6)), np.zeros(size, np.float32), np.zeros((size, 1), np.float32))
     got = known.join(F.broadcast(picked), "doc_id").select("text", "n_chars", "y").mapInArrow(_vectors, "p binary, v binary, y int").toArrow()
-    held = sorted(zip(got.column("p").to_pylist(), got.column("v").to_pylist(), got.column("y").to_pylist(), strict=True))
-    places, values = [np.frombuffer(p, np.int32) for p, _, _ in held], [np.frombuffer(v, np.float32) for _, v, _ in held]
-    y = np.array([k for _, _, k in held], np.float64)
+    p, v = ([x.as_buffer() for x in got.column(c)] for c in ("p", "v"))  # views of the table, no copies
+    order = sorted(range(len(p)), key=lambda i: (xxhash.xxh3_128_digest(p[i]), xxhash.xxh3_128_digest(v[i])))
+    places, values = [np.frombuffer(p[i], np.int32) for i in order], [np.frombuffer(v[i], np.float32) for i in order]
+    y = got.column("y").to_numpy()[order].astype(np.float64)
     ones = y.mean()
     weight = np.where(y == 1, 0.5 / ones, 0.5 / (1 - ones))
     m = fit(places, values, y, weight, size)
