@@ -28,7 +28,7 @@ LONGEST = 48
 #: Parts of the rank map, so that a look-up passes few keys.
 RANK_PARTS = 16384
 #: Words that a worker remembers.
-REMEMBER = 200_000
+REMEMBER = 500_000
 _NONE = 1 << 40
 
 #: White space as the pattern has it.
