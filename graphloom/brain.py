@@ -83,14 +83,14 @@ class KnowledgeGraph:
         m = self.manifest()
         roots = scopes.roots_frame(self.spark, m) if m.mode == "multi" and m.scopes else self.spark.createDataFrame([], "root string, scope string")
         notes = scopes.assign(workspace.notes(found), roots, "file_path").persist()
-        symbols = workspace.symbols(found, crate)
+        symbols = workspace.symbols(found, crate).persist()
         now = int(time.time())
         n1 = notes.select("id", "node_type", "title", "file_path", F.lit(None).cast("long").alias("symbol_hash"), "summary", "content_hash", "scope")
         n2 = scopes.assign(symbols, roots, "file_path").select("id", F.lit("symbol").alias("node_type"), F.col("symbol_name").alias("title"), "file_path", "symbol_hash", F.col("doc_comment").alias("summary"), F.sha2(F.concat_ws("#", "id", "start_line", "end_line", "doc_comment"), 256).alias("content_hash"), "scope")
         new = n1.unionByName(n2).dropDuplicates(["id"]).withColumns({"created_at": F.lit(now).cast("long"), "updated_at": F.lit(now).cast("long")})
         old = self.table("nodes")
         change = {r["change"]: r["count"] for r in upsert.changes(old, new).groupBy("change").count().collect()}
-        nodes = upsert.nodes(old, new).join(new.select("id"), "id", "left_semi")
+        nodes = upsert.nodes(old, new).join(new.select("id"), "id", "left_semi").persist()
         tags = notes.select(F.col("id").alias("node_id"), F.explode(F.array_distinct(F.concat("tags", F.array("node_type"), F.when(F.lit(m.mode == "multi"), F.array(F.concat(F.lit("scope:"), "scope"))).otherwise(F.array().cast("array<string>"))))).alias("tag"))
         names = notes.select(F.explode("aliases").alias("alias"), F.col("id").alias("node_id"))
         aliases = upsert.aliases(self.spark.createDataFrame([], "alias string, node_id string"), names)
@@ -103,14 +103,14 @@ class KnowledgeGraph:
         one = leaf.groupBy("alias").agg(F.min("node_id").alias("node_id"), F.count("*").alias("c")).where("c = 1").drop("c")
         keyed = anchored.withColumn("raw_target", F.concat(F.lit("symbol:"), F.regexp_extract("raw_target", r"([^:]*)$", 1)))
         docs_of = symbols.select(F.col("id").alias("source_id"), F.explode(F.regexp_extract_all(F.coalesce("doc_comment", F.lit("")), F.lit(r"\[\[([^\]\n|#]+)"), F.lit(1))).alias("raw_target")).withColumn("relation_type", F.lit(DOC_LINK))
-        solved = resolve.resolve(wiki.unionByName(drawn).unionByName(docs_of), nodes, aliases).unionByName(resolve.resolve(keyed, nodes, one))
+        solved = resolve.resolve(wiki.unionByName(drawn).unionByName(docs_of), nodes, aliases).unionByName(resolve.resolve(keyed, nodes, one)).persist()
         edges, pending = resolve.split(solved)
         edges = edges.withColumns({"weight": F.lit(1.0), "decay_rate": F.lit(0.0), "created_at": F.lit(now).cast("long")})
         edges = upsert.edges(self.table("edges").select(*edges.columns).join(edges, ["source_id", "target_id", "relation_type"], "left_semi"), edges)
         tag_text = tags.groupBy("node_id").agg(F.array_join(F.sort_array(F.collect_list("tag")), " ").alias("tags"))
         docs = notes.select(F.col("id").alias("node_id"), "title", F.col("body").alias("content")).unionByName(n2.select(F.col("id").alias("node_id"), "title", F.coalesce("summary", F.lit("")).alias("content"))).join(tag_text, "node_id", "left").withColumn("tags", F.coalesce("tags", F.lit("")))
         self._publish({"nodes": nodes, "edges": edges, "tags": tags, "aliases": aliases, "pending": pending.withColumn("created_at", F.lit(now).cast("long")), "docs": docs.dropDuplicates(["node_id"]), "anchors": symbols.dropDuplicates(["symbol_hash"])})
-        for d in (found, notes):
+        for d in (found, notes, symbols, nodes, solved):
             d.unpersist()
         return {k: change.get(k, 0) for k in ("added", "changed", "removed", "same")} | {"edges": self.table("edges").count(), "pending": self.table("pending").count()}
 
