@@ -56,10 +56,16 @@ def mentions(texts: DataFrame, names: DataFrame, max_words: int = 8) -> DataFram
     overlap, the first counts and of those with one start the longest.
     """
     word = r"[\p{L}\p{N}_]+(?:[-.:/'][\p{L}\p{N}_]+)*"
-    toks = texts.select("id", F.regexp_extract_all(F.lower(masked(F.col("body"))), F.lit(word), F.lit(0)).alias("w"))
     keyed = names.select(F.array_join(F.regexp_extract_all("surface", F.lit(word), F.lit(0)), " ").alias("gram"), "surface", "node_id").where("gram <> ''")
-    sizes = F.sequence(F.lit(1), F.lit(max_words))
-    grams = toks.select("id", "w", F.posexplode("w").alias("at", "_")).select("id", "at", F.explode(F.transform(F.filter(sizes, lambda n: F.col("at") + n <= F.size("w")), lambda n: F.struct(n.alias("k"), F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("gram")))).alias("g")).select("id", "at", "g.k", "g.gram")
+
+    def grams_of(w: Column) -> Column:
+        n = F.size(w)
+        at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_words), n - i)), lambda k: F.struct(i.alias("at"), k.alias("k"), F.array_join(F.slice(w, i + 1, k), " ").alias("gram")))
+        return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)))
+
+    found = F.regexp_extract_all(F.lower(masked(F.col("body"))), F.lit(word), F.lit(0))
+    once = F.get(F.transform(F.array(found), grams_of), F.lit(0))  # the words are found once, not for every gram
+    grams = texts.select("id", F.inline(once))
     hits = grams.join(keyed, "gram")
     longest = Window.partitionBy("id", "at").orderBy(F.desc("k"), "surface")
     hits = hits.withColumn("_r", F.row_number().over(longest)).where("_r = 1")
