@@ -366,9 +366,8 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM d a JOIN d b ON a.k = b.k AND a.doc_id < b.doc_id
 WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.55""")
 def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.md5(F.substring("text", 1, 40).cast("binary")).alias("k"))
-    p = d.toDF("a", "ta", "k").join(d.toDF("b", "tb", "k"), "k").where("a < b").select("a", "b", vector.jaccard(F.col("ta"), F.col("tb")).alias("j"))
-    return p.where("j > 0.55").select("a", "b", F.round("j", 6).alias("jaccard"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return vector.jaccard_pairs(d, 0.55).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("vector_topk", """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
