@@ -142,7 +142,7 @@ class KnowledgeGraph:
     def pending(self) -> DataFrame:
         return self.table("pending").orderBy("source_id", "raw_target")
 
-    def auto_link(self, most: int | None = 1000) -> int:
+    def auto_link(self, most: int | None = None) -> int:
         """Makes the soft links anew; returns their number."""
         soft = graph.auto_links(self.table("nodes"), self.table("tags"), most).withColumns({"decay_rate": F.lit(0.0), "created_at": F.lit(int(time.time())).cast("long")})
         self._publish({t: self.table(t) for t in _TABLES if t != "edges"} | {"edges": upsert.without_auto(self.table("edges")).unionByName(soft)})

@@ -140,19 +140,38 @@ def pairs_by(groups: DataFrame, relation: str, most: int | None = None) -> DataF
     return pairs.distinct().select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.lit(relation).alias("relation_type"), F.lit(AUTO_WEIGHTS[relation]).alias("weight"))
 
 
-def auto_links(nodes: DataFrame, tags: DataFrame, most: int | None = 1000) -> DataFrame:
-    """Soft links both ways between notes of one file stem or one telling tag; scope tags and type names tell nothing."""
+def _soft_groups(nodes: DataFrame, tags: DataFrame) -> dict[str, DataFrame]:
+    """(id, key) of each kind of soft link: notes of one file stem or one telling tag; scope tags and type names tell nothing."""
     notes = nodes.where(F.col("node_type") != "symbol")
     stems = notes.select("id", path_stem(F.col("file_path")).alias("key")).where("key is not null")
     low = F.lower("tag")
     told = tags.where(~low.isin(*TRIVIAL_TAGS) & ~F.startswith(low, F.lit("scope:"))).select(F.col("node_id").alias("id"), low.alias("key")).join(notes.select("id"), "id", "left_semi")
-    one = pairs_by(stems, AUTO_FILE, most).unionByName(pairs_by(told, AUTO_TAG, most))
+    return {AUTO_FILE: stems, AUTO_TAG: told}
+
+
+def auto_links(nodes: DataFrame, tags: DataFrame, most: int | None = None) -> DataFrame:
+    """Soft links both ways between notes of one group; `most`: larger groups are linked as a star."""
+    groups = _soft_groups(nodes, tags)
+    one = pairs_by(groups[AUTO_FILE], AUTO_FILE, most).unionByName(pairs_by(groups[AUTO_TAG], AUTO_TAG, most))
     return one.unionByName(one.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "relation_type", "weight"))
 
 
-def suggestions(nodes: DataFrame, tags: DataFrame, focus: DataFrame, n: int = 24, most: int | None = 1000) -> DataFrame:
-    """focus (id) to its best automatic links, heaviest first."""
-    links = auto_links(nodes, tags, most).join(focus.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+def suggestions(nodes: DataFrame, tags: DataFrame, focus: DataFrame, n: int = 24) -> DataFrame:
+    """focus (id) to its best n automatic links, heaviest first.
+
+    Links of one relation weigh the same and stand by target, so of a group no more
+    than its n + 1 least ids can be among the best n of a member, which may be one of
+    them: the focus meets those by key, and work is linear in the size of a group.
+    """
+    links = None
+    for relation, rows in _soft_groups(nodes, tags).items():
+        g = rows.distinct()
+        mine = g.join(focus.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("source_id"), "key")
+        line = Window.partitionBy("key").orderBy("id")
+        first = g.join(mine.select("key").distinct(), "key", "left_semi").withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= n + 1).select(F.col("id").alias("target_id"), "key")
+        found = mine.join(first, "key").where("source_id <> target_id").select("source_id", "target_id").distinct()
+        found = found.withColumns({"relation_type": F.lit(relation), "weight": F.lit(AUTO_WEIGHTS[relation])})
+        links = found if links is None else links.unionByName(found)
     line = Window.partitionBy("source_id").orderBy(F.desc("weight"), "target_id", "relation_type")
     return links.withColumn("place", F.row_number().over(line)).where(F.col("place") <= n)
 

@@ -214,7 +214,7 @@ def autolink_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("autolink_suggestions")
 def autolink_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, tags = _parts(spark, sf_dir)
-    return graph.suggestions(n, tags, n.where("id in ('part/1', 'part/2', 'part/77')").select("id"))
+    return graph.suggestions(n, tags, table(spark, sf_dir, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("id")))
 
 
 # links -------------------------------------------------------------------
