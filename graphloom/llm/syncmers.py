@@ -13,8 +13,10 @@ from .common import cut, table
 UNIT = r"\w{1,4}|[^\w\s]"
 #: A k-mer is K units; its inner substrings are of S units.
 K, S = 4, 2
-#: Anchors that a fingerprint keeps, those of least hash, 32 bits each.
+#: Anchors that the sketch of a text keeps, those of least hash, 32 bits each.
 KEEP = 64
+#: Bits of an anchor's place in its text.
+AT_BITS = 30
 #: Bits of an id that tell documents of one run of neighbours apart.
 RUN_BITS = 10
 #: Most runs whose table is broadcast (at about 40 bytes a row); more are joined by a shuffle.
@@ -26,13 +28,13 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def fingerprint(text: Column) -> Column:
-    """The fingerprint of a text: its least anchors in ascending order, 8 hexadecimal digits each.
+def anchors(text: Column) -> Column:
+    """All anchors of a text in text order, each as hash << 30 | the number of units before it.
 
     Closed syncmers: a k-mer of units is chosen if the least hash of its inner
     s-mers is at its first or last place, so that the choice depends on the k-mer
-    alone. An anchor is the hash of a chosen k-mer. A text of fewer units is one
-    k-mer; one without any has the empty fingerprint. Null: as the empty text.
+    alone. An anchor is the 32-bit hash of a chosen k-mer. A text of fewer units is
+    one k-mer; one without any has no anchors. Null: as the empty text.
     """
     units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
     w = K - S + 1
@@ -48,17 +50,60 @@ def fingerprint(text: Column) -> Column:
                 return (F.get(h, i) == least) | (F.get(h, i + (w - 1)) == least)
 
             at = F.filter(F.sequence(F.lit(0), n - K), edge)
-            return F.transform(at, lambda i: low(F.xxhash64(F.get(h, i), F.get(h, i + (w - 1)))))
+            return F.transform(at, lambda i: F.shiftleft(low(F.xxhash64(F.get(h, i), F.get(h, i + (w - 1)))), AT_BITS) + i)
 
-        short = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array(low(F.xxhash64(F.array_join(u, "\x00")))))
+        short = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.shiftleft(low(F.xxhash64(F.array_join(u, "\x00"))), AT_BITS)))
         return F.when(n < K, short).otherwise(_let(inner, chosen))
 
-    least = F.slice(F.array_sort(F.array_distinct(_let(units, of))), 1, KEEP)
+    return _let(units, of)
+
+
+def sketch(anchors: Column) -> Column:
+    """The least KEEP hashes of the anchors in ascending order, 8 hexadecimal digits each."""
+    least = F.slice(F.array_sort(F.array_distinct(F.transform(anchors, lambda x: F.shiftright(x, AT_BITS)))), 1, KEEP)
     return F.array_join(F.transform(least, lambda x: F.lpad(F.hex(x), 8, "0")), "")
 
 
+def fingerprint(text: Column) -> Column:
+    """The sketch of a text: its least anchors; one without any has the empty sketch."""
+    return sketch(anchors(text))
+
+
+def positional_likeness(a: Column, b: Column) -> Column:
+    """Likeness of two lists of all anchors, 0 to 1: twice the anchors matched in position by the number of both.
+
+    Of a hash, the first anchor of one text meets the first of the other, the second
+    the second, and so on. A meeting is in position if the one before or after it in
+    the text is at the same distance between both texts; a lone one is chance.
+    """
+    runs_of = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.shiftright(F.get(s, i), AT_BITS) != F.shiftright(F.get(s, i - 1), AT_BITS)))
+    at = lambda x: x.bitwiseAND(F.lit((1 << AT_BITS) - 1))
+
+    def met(x: Column) -> Column:
+        s, r = x["s"], x["r"]
+        hash_of = lambda j: F.shiftright(F.get(s, F.get(r, j)), AT_BITS + 1)
+
+        def pairs(j: Column) -> Column:
+            here, there = F.get(r, j), F.get(r, j + 1)
+            n = F.least(there - here, F.coalesce(F.get(r, j + 2), F.size(s)) - there)
+            return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.shiftleft(at(F.get(s, here + k)), AT_BITS) + at(F.get(s, there + k)))
+
+        first = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda j: hash_of(j) == hash_of(j + 1))
+        return F.sort_array(F.flatten(F.transform(first, pairs)))
+
+    def in_position(m: Column) -> Column:
+        shift = lambda i: F.when((i >= 0) & (i < F.size(m)), at(F.get(m, i)) - F.shiftright(F.get(m, i), AT_BITS))
+        alike = lambda i: F.coalesce(shift(i) == shift(i - 1), F.lit(False)) | F.coalesce(shift(i) == shift(i + 1), F.lit(False))
+        return F.when(F.size(m) == 0, 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.size(m) - 1), alike)))
+
+    # hash, side and place in one number, so that the sort brings a hash's anchors of one text before those of the other
+    side = lambda c, n: F.transform(c, lambda x: F.shiftleft(F.shiftright(x, AT_BITS), AT_BITS + 1) + F.lit(n << AT_BITS) + at(x))
+    count = _let(_let(_let(F.sort_array(F.concat(side(a, 0), side(b, 1))), lambda s: F.struct(s.alias("s"), runs_of(s).alias("r"))), met), in_position)
+    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * count / (F.size(a) + F.size(b)))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints, 0 to 1: of the least anchors of both together, the share p that both hold, as 2p / (1 + p).
+    """Likeness of two sketches, 0 to 1: of the least anchors of both together, the share p that both hold, as 2p / (1 + p).
 
     That estimates the anchors in common against the mean of both texts' anchors.
     Two empty fingerprints are alike, an empty one and another are not.
@@ -98,7 +143,11 @@ def _heads(keyed: DataFrame) -> DataFrame:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; a row for each row.
+    """docs (doc_id, text) to doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, anchors, edited_anchors, same_edited, same_next; a row for each row.
+
+    anchors are all closed syncmers of a text in its order, and the two same_ columns
+    match them in position; fingerprint and the near_ columns are the sketch of the
+    least KEEP, of a fixed size whatever the text's length.
 
     The next document comes from a window over runs of neighbouring ids, to each of
     which a copy of the following run's first row is sent, so that texts move once
@@ -108,19 +157,22 @@ def prints(docs: DataFrame) -> DataFrame:
     """
     d = _keyed(docs)
     heads = _heads(d).select(F.col("known").alias("_known"), F.col("run").alias("_run"), F.col("tie").alias("_tie"), "to_known", "to_run")
-    d = d.withColumn("fp", fingerprint(F.col("text")))
     d = d.join(heads, (F.col("known") == F.col("_known")) & (F.col("run") == F.col("_run")) & (F.col("tie") == F.col("_tie")), "left")
     own = F.struct(F.lit(False).alias("guest"), F.col("known").alias("k"), F.col("run").alias("r"))
     guest = F.struct(F.lit(True).alias("guest"), F.col("to_known").alias("k"), F.col("to_run").alias("r"))
-    d = d.select("doc_id", "text", "fp", "tie", F.explode(F.when(F.col("to_run").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at"))
-    d = d.select("doc_id", "text", "fp", "tie", "at.guest", "at.k", "at.r")
+    d = d.select("doc_id", "text", "tie", F.explode(F.when(F.col("to_run").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at"))
+    d = d.select("doc_id", "text", "tie", "at.guest", "at.k", "at.r")
     w = Window.partitionBy("k", "r").orderBy("guest", "tie", "text")
-    d = d.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)}).where("not guest")
+    d = d.withColumn("next_text", F.lead("text").over(w)).where("not guest")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     d = d.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))})
-    d = d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), "next_fp", fingerprint(F.col("edited")).alias("edited_fingerprint"))
-    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"))
+    d = d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("anchors"), anchors(F.col("edited")).alias("edited_anchors"), anchors(F.col("next_text")).alias("next_anchors"))
+    d = d.withColumns({"fingerprint": sketch(F.col("anchors")), "edited_fingerprint": sketch(F.col("edited_anchors")), "next_fp": sketch(F.col("next_anchors"))})
+    near = [likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next")]
+    same = [positional_likeness(F.col("anchors"), F.col("edited_anchors")).alias("same_edited"), positional_likeness(F.col("anchors"), F.col("next_anchors")).alias("same_next")]
+    show = lambda c: F.transform(c, lambda x: F.struct(F.shiftright(x, AT_BITS).alias("hash"), x.bitwiseAND(F.lit((1 << AT_BITS) - 1)).cast("int").alias("at"))).alias(c)
+    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near, show("anchors"), show("edited_anchors"), *same)
 
 
 def op3_syncmer_prints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,60 @@
+import random
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from graphloom.llm import syncmers
+
+from . import cases
+from .test_syncmers import UNIT, chain
+
+
+def all_anchors(text):
+    u = UNIT.findall(text or "")
+    if len(u) < 4:
+        return [(chain(chr(0).join(u)) & 0xFFFFFFFF, 0)] if u else []
+    h = [chain(u[i], u[i + 1]) for i in range(len(u) - 1)]
+    return [(chain(h[i], h[i + 2]) & 0xFFFFFFFF, i) for i in range(len(u) - 3) if min(h[i : i + 3]) in (h[i], h[i + 2])]
+
+
+def same(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    p, q = defaultdict(list), defaultdict(list)
+    for of, to in ((a, p), (b, q)):
+        for h, i in of:
+            to[h].append(i)
+    met = sorted((x, y) for h in p for x, y in zip(p[h], q.get(h, []), strict=False))
+    d = [y - x for x, y in met]
+    return 2 * sum((i > 0 and d[i - 1] == d[i]) or (i + 1 < len(d) and d[i + 1] == d[i]) for i in range(len(d))) / (len(a) + len(b))
+
+
+def made(seed, n):
+    rnd = random.Random(seed)
+    return " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(n))
+
+
+def test_all_anchors_in_order_and_position(spark):
+    long, other, passage = made(1, 3000), made(2, 3000), made(3, 60)
+    rows = [(1, long), (2, long + " " + passage), (3, other + " " + passage), (4, "one two"), (5, ""), (6, None), (7, "aaaa" * 300), (8, "line of words again " * 30), (9, "line of words again " * 31)]
+    got = syncmers.prints(cases.docs(spark, [(*r, "en", "a", 1) for r in rows])).orderBy("doc_id").collect()
+    text = dict(rows)
+    for r in got:
+        t, nxt = text[r.doc_id] or "", text[r.doc_id % 9 + 1] or ""
+        h = len(t) // 2
+        edited = t[: len(t) - h] + nxt[:h]
+        assert [tuple(x) for x in r.anchors] == all_anchors(t) and [tuple(x) for x in r.edited_anchors] == all_anchors(edited)
+        assert abs(r.same_edited - same(all_anchors(t), all_anchors(edited))) < 1e-9 and abs(r.same_next - same(all_anchors(t), all_anchors(nxt))) < 1e-9
+    one, two = got[0], got[1]
+    assert len(one.anchors) > 64 and one.same_next < 1.0
+    assert 0.5 * 2 * 60 / 6060 < two.same_next < 0.1  # the passage alone
+
+
+def test_long_texts_that_the_sketch_takes_for_equal(spark):
+    base = made(5, 2000).split()
+    texts = [" ".join([*base[:i], "qqqq", *base[i + 1 :]]) for i in range(5, 2000, 100)]
+    d = spark.createDataFrame([(" ".join(base), t) for t in texts], "a string, b string")
+    r = d.select(syncmers.likeness(syncmers.fingerprint(F.col("a")), syncmers.fingerprint(F.col("b"))).alias("near"), syncmers.positional_likeness(syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b"))).alias("same")).collect()
+    assert any(x.near == 1.0 for x in r) and all(0.99 < x.same < 1.0 for x in r)
