@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,10 @@ COSINE = 0.93
 #: Vectors of a shard: the memory bound of a task.
 SHARD = 16_384
 M, BUILD_BEAM, FIRST_BEAM = 12, 64, 32
-#: Share of a shard's audited links that a beam must find; and one of how many vectors is audited.
+#: Share of a shard's audited links that a beam must find; and one of how many vectors is audited at first.
 RECALL, AUDIT = 0.995, 20
+#: Fewest links to other vectors that prove the recall: were it less, chance would find them all in under 5 % of audits.
+PROOF = math.ceil(math.log(0.05) / math.log(RECALL))
 BLOCK = 256
 
 
@@ -200,11 +203,34 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def links_between(have: np.ndarray, ask: np.ndarray, cosine: float = COSINE, graph: Graph | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _audit(g: Graph, q: np.ndarray, own: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(audited, query, row): the true links of the audited queries, without those to their own rows.
+
+    One query in AUDIT is audited, and twice as many until their links prove the recall
+    or no query is left. Queries are taken in an order that strides over all of them.
+    """
+    order = np.concatenate([np.arange(k, len(q), AUDIT) for k in range(AUDIT)])
+    done, n, i, j = 0, -(-len(q) // AUDIT), [], []
+    while True:
+        some = order[done:n]
+        rows = exact(g.x, q[some], least)
+        u, v = np.repeat(some, [len(r) for r in rows]), np.concatenate(rows)
+        real = v != own[u]
+        i.append(u[real])
+        j.append(v[real])
+        done = n
+        if sum(map(len, i)) >= PROOF or done == len(q):
+            return order[:done], np.concatenate(i), np.concatenate(j)
+        n = min(2 * n, len(q))
+
+
+def links_between(have: np.ndarray, ask: np.ndarray, cosine: float = COSINE, graph: Graph | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of cosine >= `cosine`, candidates from the graph, each verified in double precision.
 
-    The beam is doubled until the audited queries find the links that brute force
-    does; where that takes a beam as wide as the shard, all queries are compared in blocks.
+    own: the row that a query itself is, -1 for none; a link to it is no link of the
+    audit. The beam is doubled until the audited queries find the links that brute
+    force does. Where that takes a beam as wide as the shard, or so few queries have
+    links that all of them were audited, all queries are compared in blocks.
     """
     if not len(have) or not len(ask):
         return np.empty(0, int), np.empty(0, int)
@@ -212,19 +238,21 @@ def links_between(have: np.ndarray, ask: np.ndarray, cosine: float = COSINE, gra
     slack = np.float32(cosine - 1e-5)
     g = graph or Graph(a)
     q = b.astype(np.float32)
-    audited = np.arange(0, len(q), AUDIT)
-    truth = exact(g.x, q[audited], slack)
-    total, beam = sum(map(len, truth)), FIRST_BEAM
-    while True:
-        i, j = g.near_to(q[audited], beam, slack)
-        if len(i) >= RECALL * total or beam >= len(a):
-            break
-        beam *= 2
-    if beam < len(a):
-        i, j = g.near_to(q, beam, slack)
-    else:
-        all_ = exact(g.x, q, slack)
-        i, j = np.repeat(np.arange(len(q)), [len(r) for r in all_]), np.concatenate(all_)
+    if own is None:
+        own = np.full(len(q), -1)
+    audited, i, j = _audit(g, q, own, slack)
+    if len(audited) < len(q):
+        total, beam = len(i), FIRST_BEAM
+        while True:
+            i, j = g.near_to(q[audited], beam, slack)
+            if (j != own[audited[i]]).sum() >= RECALL * total or beam >= len(a):
+                break
+            beam *= 2
+        if beam < len(a):
+            i, j = g.near_to(q, beam, slack)
+        else:
+            all_ = exact(g.x, q, slack)
+            i, j = np.repeat(np.arange(len(q)), [len(r) for r in all_]), np.concatenate(all_)
     keep = np.concatenate([np.einsum("nd,nd->n", b[i[s : s + 65536]], a[j[s : s + 65536]]) >= cosine for s in range(0, len(i), 65536)]) if len(i) else np.empty(0, bool)
     return i[keep], j[keep]
 
@@ -241,7 +269,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if task not in graphs:
             graphs.clear()
             graphs[task] = Graph(_unit(rows.astype(np.float64)))
-        i, j = links_between(rows, np.concatenate([h[1] for h in held]), graph=graphs[task])
+        at = np.searchsorted(ids, q_ids)  # rows come sorted by node
+        own = np.where(ids[np.minimum(at, len(ids) - 1)] == q_ids, at, -1)
+        i, j = links_between(rows, np.concatenate([h[1] for h in held]), graph=graphs[task], own=own)
         u, v = q_ids[i], ids[j]
         return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["a", "b"])
 
