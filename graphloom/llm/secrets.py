@@ -20,6 +20,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Shortest run of code characters that the battery judges.
 SHORTEST = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+#: Parts of a run at equals signs (those at its end are padding), and parts of these at what joins names and paths.
+PIECE, PART = re.compile(r"[^=]+(?:=+\Z)?"), re.compile(r"[^/_-]{%d,}" % SHORTEST)
 #: Lengths from which a class of its own begins for the false-discovery control.
 CLASSES = (20, 24, 32, 48, 96, 192)
 BINS, RATE, LAMBDA = 200, 0.05, 0.5
@@ -87,8 +89,26 @@ def randomness(run: str) -> float:
     return 1 - (1 - least) ** 3
 
 
-def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Spans (start, kind, end) of the fixed patterns, and the runs that the battery may judge."""
+def _candidates(text: str, a: int, b: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """What the battery judges of a run: its pieces between fixed patterns and equals signs, and the parts of these; with the class of each.
+
+    Parts hang on their pieces, so they have length classes of their own.
+    """
+    out = []
+    for s, _, e in [*found, (b, 0, b)]:
+        for m in PIECE.finditer(text[a : min(s, b)]) if s > a else ():
+            if len(m[0]) >= SHORTEST:
+                at = a + m.start()
+                out.append((at, a + m.end(), length_class(len(m[0]))))
+                out += [(at + p.start(), at + p.end(), len(CLASSES) + length_class(len(p[0]))) for p in PART.finditer(m[0]) if p.span() != (0, len(m[0]))]
+        a = max(a, e)
+        if a >= b:
+            break
+    return out
+
+
+def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Spans (start, kind, end) of the fixed patterns, and what of the runs the battery may judge."""
     runs = [m.span() for m in RUN.finditer(text)]
     found = []
     low = text.lower()
@@ -101,7 +121,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
         if b - a >= 24:
             found += [(a + m.start(), 2, a + m.end()) for m in HEX.finditer(part) if len(m[0]) >= 24]
     found.sort()
-    free = [(a, b) for a, b in runs if not any(s < b and a < e for s, _, e in found)] if found else runs
+    free = [c for a, b in runs for c in _candidates(text, a, b, found)]
     return found, free
 
 
@@ -110,8 +130,8 @@ def length_class(n: int) -> int:
 
 
 def judged(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, bin of the p-value) of each run outside the fixed patterns."""
-    return [(a, b, length_class(b - a), min(BINS - 1, int(randomness(text[a:b]) * BINS))) for a, b in base_spans(text)[1]]
+    """(start, end, length class, bin of the p-value) of each candidate outside the fixed patterns."""
+    return [(a, b, c, min(BINS - 1, int(randomness(text[a:b]) * BINS))) for a, b, c in base_spans(text)[1]]
 
 
 _SPAN = "array<struct<s:int,k:int,e:int>>"
@@ -132,7 +152,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, free = base_spans(text)
             bases.append([{"s": s, "k": k, "e": e} for s, k, e in found])
             digests.append(hashlib.sha256(_label(found).encode()).hexdigest())
-            runs.append([{"s": s, "e": e, "c": length_class(e - s), "p": min(BINS - 1, int(randomness(text[s:e]) * BINS))} for s, e in free])
+            runs.append([{"s": s, "e": e, "c": c, "p": min(BINS - 1, int(randomness(text[s:e]) * BINS))} for s, e, c in free])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bases, base_t), pa.array(digests), pa.array(runs, run_t)], names=["doc_id", "base", "base_sha256", "runs"])
 
 
@@ -144,7 +164,7 @@ def thresholds(counts: dict[tuple[int, int], int], rate: float = RATE) -> list[i
     share of them are false. The first bin that keeps false ones within the rate counts.
     """
     out = []
-    for c in range(len(CLASSES)):
+    for c in range(2 * len(CLASSES)):
         n = [counts.get((c, p), 0) for p in range(BINS)]
         top = int(LAMBDA * BINS)
         random = sum(n[top:]) / (1 - LAMBDA)
@@ -159,7 +179,7 @@ def thresholds(counts: dict[tuple[int, int], int], rate: float = RATE) -> list[i
 
 def _control(scanned: DataFrame) -> list[int]:
     r = scanned.select(F.explode("runs").alias("r")).groupBy("r.c", "r.p").count()
-    return thresholds({(x["c"], x["p"]): x["count"] for x in r.collect()})  # at most len(CLASSES) * BINS rows
+    return thresholds({(x["c"], x["p"]): x["count"] for x in r.collect()})  # at most 2 * len(CLASSES) * BINS rows
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -172,7 +192,10 @@ def scan(docs: DataFrame) -> DataFrame:
     s = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, _SCAN))
     first = F.array(*map(F.lit, _control(s)))
     n = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    more = F.transform(F.filter("runs", lambda r: r["p"] >= F.get(first, r["c"])), lambda r: F.struct(r["s"].alias("s"), F.lit(3).alias("k"), r["e"].alias("e")))
+    s = s.withColumn("runs", F.filter("runs", lambda r: r["p"] >= F.get(first, r["c"])))
+    # a part of a piece that is taken is the same secret
+    outer = F.filter("runs", lambda r: ~F.exists("runs", lambda o: (o["s"] <= r["s"]) & (o["e"] >= r["e"]) & (o["e"] - o["s"] > r["e"] - r["s"])))
+    more = F.transform(outer, lambda r: F.struct(r["s"].alias("s"), F.lit(3).alias("k"), r["e"].alias("e")))
     spans = F.array_sort(F.concat("base", more))
     names = F.array(*map(F.lit, KINDS))
     return s.select(
