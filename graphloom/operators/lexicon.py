@@ -48,15 +48,18 @@ def masked(c: Column) -> Column:
     return c
 
 
-def mentions(texts: DataFrame, names: DataFrame, max_words: int = 8) -> DataFrame:
+def mentions(texts: DataFrame, names: DataFrame, max_words: int | None = None) -> DataFrame:
     """texts (id, body), names (surface, node_id) to (id, surface, node_id, n): names as whole words, of overlapping ones the longest.
 
     Word n-grams meet the names by equality, whatever the number of names: up to
-    max_words words, and no more than the longest name has. Of mentions that
+    as many words as the longest name has, or up to max_words where that is given. Of mentions that
     overlap, the first counts and of those with one start the longest.
     """
     word = r"[\p{L}\p{N}_]+(?:[-.:/'][\p{L}\p{N}_]+)*"
-    keyed = names.select(F.array_join(F.regexp_extract_all("surface", F.lit(word), F.lit(0)), " ").alias("gram"), "surface", "node_id").where("gram <> ''")
+    in_name = F.regexp_extract_all("surface", F.lit(word), F.lit(0))
+    keyed = names.select(F.array_join(in_name, " ").alias("gram"), "surface", "node_id").where("gram <> ''")
+    if max_words is None:
+        max_words = names.agg(F.max(F.size(in_name))).first()[0] or 1
 
     def grams_of(w: Column) -> Column:
         n = F.size(w)

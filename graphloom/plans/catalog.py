@@ -404,7 +404,7 @@ def lexicon_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
     b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("item/"), F.col("item_id").cast("string")).alias("id"), F.lit("concept").alias("node_type"), title.alias("title"), F.lit(None).cast("string").alias("file_path"))
     names = lexicon.surfaces(b, spark.createDataFrame([], "alias string, node_id string")).where("n = 1").select("surface", "node_id")
-    return lexicon.mentions(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body")), names, 6).select("id", "node_id", "n")
+    return lexicon.mentions(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("body")), names).select("id", "node_id", "n")
 
 
 @query("lexicon_surfaces", "SELECT lower(p_name) AS surface, 'title' AS kind, count(*) AS n, min('part/' || p_partkey) AS node_id FROM part GROUP BY 1")
