@@ -1,4 +1,4 @@
-"""Byte-level BPE: higher-order functions fold ranked merges over the bytes of distinct words."""
+"""Byte-level BPE: higher-order functions fold ranked merges over the byte arrays of distinct words."""
 
 from __future__ import annotations
 
@@ -7,16 +7,15 @@ import hashlib
 import heapq
 import json
 import re
-import zlib
 from array import array
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,19 +23,19 @@ from . import lookup
 from .common import own_dir, parts, table
 
 #: Words of more bytes are merged with a heap where they occur; the fold's work grows as the square of the length.
-LONGEST = 48
-#: Parts of the rank map, so that a look-up passes few keys.
-RANK_PARTS = 16384
-#: Words that a worker remembers.
-REMEMBER = 500_000
+LONGEST = 1024
+#: Groups and slots of the rank map, as powers of two.
+GROUPS, SLOTS = 14, 17
+#: Distinct words, and words, of a chunk of documents.
+REMEMBER, CHUNK = 400_000, 3_000_000
 _NONE = 1 << 40
+#: An entry of the fold's state is rank << AT | the byte where a piece begins.
+AT = 16
 
 #: White space as the pattern has it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: White space other than a single space between words.
 _ODD = re.compile(f"([{_SPACE}]{{2,}}|[{_SPACE.replace(' ', '')}])")
-#: Characters of text that a worker cuts at a time.
-BLOCK = 1_000_000
 
 
 @lru_cache(maxsize=4)
@@ -50,7 +49,7 @@ def merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
     if (whole := rank.get(word)) is not None:
         return [whole]
     n = len(word)
-    if n <= 2 * LONGEST:
+    if n <= 96:
         at, near = [*range(n + 1)], [rank.get(word[i : i + 2], _NONE) for i in range(n - 1)]
         while near and (least := min(near)) < _NONE:
             i = near.index(least)
@@ -83,49 +82,73 @@ def merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _rank_of(rank: dict[bytes, int]) -> tuple[Column, callable]:
-    """The literal rank map, in parts by crc32, and its look-up."""
-    held: list[dict[str, int]] = [{} for _ in range(RANK_PARTS)]
-    for k, v in rank.items():
-        key = k.hex().upper()
-        held[zlib.crc32(key.encode()) % RANK_PARTS][key] = v
-    maps = F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
-    return maps, lambda key, m: F.element_at(F.get(m, F.pmod(F.crc32(key.cast("binary")), F.lit(RANK_PARTS)).cast("int")), key)
-
-
-def encoded(words: DataFrame, rank: dict[bytes, int]) -> DataFrame:
-    """words (key string) to key, ids array<int>: a fold over (pieces, ranks of neighbours), a merge a step.
+@lru_cache(maxsize=4)
+def _hashed(path: str) -> str:
+    """The rank map of a file as JSON of a perfect hash: displacement of each group, then key (base64) and rank of each slot.
 
-    Pieces are bytes in hexadecimal. Each step joins the leftmost pair of the least
-    rank and looks up the two pairs that this makes.
+    A key of xxhash64 h is in group h mod 2^GROUPS and in slot (h >> GROUPS + the
+    group's displacement) mod 2^SLOTS.
+    """
+    rank = ranks(path)
+    group: list[list[tuple[int, bytes]]] = [[] for _ in range(1 << GROUPS)]
+    for k in rank:
+        h = xxhash.xxh64_intdigest(k, 42)
+        group[h & (1 << GROUPS) - 1].append((h >> GROUPS, k))
+    d, keys, values, most = [0] * (1 << GROUPS), [None] * (1 << SLOTS), [None] * (1 << SLOTS), (1 << SLOTS) - 1
+    for g in sorted(range(1 << GROUPS), key=lambda g: -len(group[g])):
+        at = [h & most for h, _ in group[g]]
+        if len({*at}) < len(at):
+            raise ValueError("two words of one group have one slot")  # does not happen with the vocabularies in use
+        d[g] = next(x for x in range(1 << SLOTS) if all(values[a + x & most] is None for a in at))
+        for a, (_, k) in zip(at, group[g], strict=True):
+            keys[a + d[g] & most], values[a + d[g] & most] = base64.b64encode(k).decode(), rank[k]
+    return json.dumps({"d": d, "k": keys, "v": values})
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def encoded(words: DataFrame, path: str) -> DataFrame:
+    """words (key string) to key, ids array<int>: a fold over (rank of each pair, where its first piece begins), a merge a step.
+
+    The word is its byte array and a piece a slice of it, known by the byte where it
+    begins. Each step drops the second piece of the leftmost pair of the least rank
+    and looks up the two pairs that this makes in the literal rank map.
     """
-    maps, of = _rank_of(rank)
-    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
-    none = F.array().cast("array<int>")
+    table_ = F.from_json(F.lit(_hashed(path)), "struct<d:array<int>,k:array<binary>,v:array<int>>")
+    place = lambda x: x.bitwiseAND(F.lit((1 << AT) - 1)).cast("int")
+    entry = lambda rank, at: F.shiftleft(rank, AT) + at
+    empty, none = F.array().cast("array<bigint>"), F.lit(_NONE)
+
+    def word(t: Column) -> Column:
+        w = F.col("key").cast("binary")
+        n = F.octet_length(w)
 
-    def folded(m: Column, pieces: Column) -> Column:
-        def step(s: Column, _: Column) -> Column:
-            p, r = s["p"], s["r"]
+        def of(piece: Column) -> Column:
+            slot = lambda h: (F.shiftrightunsigned(h, GROUPS) + F.get(t["d"], h.bitwiseAND(F.lit((1 << GROUPS) - 1)).cast("int"))).bitwiseAND(F.lit((1 << SLOTS) - 1)).cast("int")
+            return _let(slot(F.xxhash64(piece)), lambda i: F.when(F.get(t["k"], i) == piece, F.get(t["v"], i)))
 
-            def join(x: Column) -> Column:
-                j, piece = x["j"], x["piece"]
-                before = F.when(j >= 2, F.array(of(F.concat(F.get(p, j - 2), piece), m))).otherwise(none)
-                after = F.when(j + 1 < F.size(p), F.array(of(F.concat(piece, F.get(p, j + 1)), m))).otherwise(none)
-                joined = F.concat(F.slice(p, 1, j - 1), F.array(piece), F.slice(p, j + 2, F.size(p)))
-                return state(joined, F.concat(F.slice(r, 1, F.greatest(j - 2, F.lit(0))), before, after, F.slice(r, j + 2, F.size(p))))
+        pair = lambda a, b: F.coalesce(of(F.substring(w, a + 1, b - a)).cast("long"), none)
 
-            at = lambda j: let(F.struct(j.alias("j"), F.concat(F.get(p, j - 1), F.get(p, j)).alias("piece")), join)
-            return let(F.array_position(r, F.array_min(r)).cast("int"), lambda j: F.when(j.isNull(), s).otherwise(at(j)))
+        def step(r: Column, _: Column) -> Column:
+            def merged(j: Column) -> Column:
+                here, before = place(F.get(r, j - 1)), place(F.get(r, j - 2))
+                end, beyond = (F.coalesce(place(F.get(r, j + k)), n) for k in (1, 2))
+                left = F.when(j > 1, F.array(entry(pair(before, end), before))).otherwise(empty)
+                right = F.array(entry(F.when(j + 1 < F.size(r), pair(here, beyond)).otherwise(none), here))
+                return F.concat(F.slice(r, 1, F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, F.size(r)))
 
-        near = F.zip_with(F.slice(pieces, 1, F.size(pieces) - 1), F.slice(pieces, 2, F.size(pieces)), lambda a, b: of(F.concat(a, b), m))
-        return F.aggregate(F.sequence(F.lit(1), F.size(pieces)), state(pieces, near), step, lambda s: F.transform(s["p"], lambda k: of(k, m)))
+            least = F.array_min(r)
+            return F.when(least >= _NONE << AT, r).otherwise(_let(F.array_position(r, least).cast("int"), merged))
 
-    def word(m: Column) -> Column:
-        whole = F.hex(F.col("key").cast("binary"))
-        return let(of(whole, m), lambda id_: F.when(id_.isNotNull(), F.array(id_)).otherwise(let(F.regexp_extract_all(whole, F.lit(".."), F.lit(0)), lambda p: folded(m, p))))
+        start = F.transform(F.sequence(F.lit(0), n - 1), lambda i: entry(F.when(i + 2 <= n, pair(i, i + 2)).otherwise(none), i))
+        pieces = lambda r: F.transform(r, lambda x, i: of(F.substring(w, place(x) + 1, F.coalesce(place(F.get(r, i + 1)), n) - place(x))))
+        folded = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), start, step, pieces)
+        return _let(of(w), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
 
-    return words.select("key", let(maps, word).alias("ids"))  # the map stands once in the plan
+    return words.select("key", _let(table_, word).alias("ids"))  # the map stands once in the plan
 
 
 def _pieces(text: str) -> tuple[list[str], list[list[str]]]:
@@ -158,131 +181,178 @@ def pieces(text: str) -> list[str]:
     return [x for x in out if x]
 
 
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pattern = regex.compile(public_tokenizers.PATTERN)
-    spaced: Counter[str] = Counter()  # words as they are cut, with a space before
-    words: Counter[str] = Counter()
-
-    def out() -> pa.RecordBatch:
-        for w, n in spaced.items():
-            if w.isalpha():  # one word to the pattern
-                words[f" {w}"] += n
-            else:
-                for x in pattern.findall(f" {w}"):
-                    words[x] += n
-        kept = [(w, n) for w, n in words.items() if len(w.encode()) <= LONGEST]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["key", "n"])
-
-    for b in batches:
-        for x in b.column(0):
-            marks, runs = _pieces(x.as_py() or "")
-            for i, (m, r) in enumerate(zip(marks, runs, strict=True)):
-                tokens, lead = _mark(m, i == len(runs) - 1 and not r)
-                words.update(tokens)
-                if r and not lead:
-                    words.update(pattern.findall(r[0]))
-                    spaced.update(r[1:])
+class _Index(dict):
+    """Numbers words as they are met."""
+
+    def __init__(self, lead: str, words: list[str]) -> None:
+        self.lead, self.words = lead, words
+
+    def __missing__(self, w: str) -> int:
+        n = self[w] = len(self.words)
+        self.words.append(self.lead + w)
+        return n
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of 32-bit numbers, those of one place together, which packs better."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(b: pa.Buffer) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
+
+
+def _cutter(keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = regex.compile(public_tokenizers.PATTERN)
+        words: list[str] = []
+        spaced, bare = _Index(" ", words), _Index("", words)
+        seq, sizes, held = array("I"), [], []
+
+        def out() -> pa.RecordBatch:
+            tokens = _Index("", [])
+            split, n = array("I"), np.empty(len(words), np.uint32)
+            for i, w in enumerate(words):
+                if w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):  # one token to the pattern
+                    split.append(tokens[w])
+                    n[i] = 1
                 else:
-                    spaced.update(r)
-        if len(spaced) > REMEMBER:
+                    x = pattern.findall(w)
+                    split.extend(map(tokens.__getitem__, x))
+                    n[i] = len(x)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            struct = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in keep], fields=[rows.schema.field(c) for c in keep])
+            of = lambda x: pa.array([_planes(np.asarray(x, np.uint32))], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct), pa.array([tokens.words], pa.list_(pa.string())), of(n), of(split), of(sizes), of(seq)], names=["rows", "tokens", "split_n", "split", "seq_n", "seq"])
+
+        for b in batches:
+            first = 0
+            for k, x in enumerate(b.column("text")):
+                marks, runs = _pieces(x.as_py() or "")
+                at = len(seq)
+                for i, (m, r) in enumerate(zip(marks, runs, strict=True)):
+                    tokens, lead = _mark(m, i == len(runs) - 1 and not r)
+                    if tokens:
+                        seq.extend(map(bare.__getitem__, tokens))
+                    if r and not lead:
+                        seq.append(bare[r[0]])
+                        r = r[1:]
+                    seq.extend(map(spaced.__getitem__, r))
+                sizes.append(len(seq) - at)
+                if len(words) >= REMEMBER or len(seq) >= CHUNK:
+                    held.append(b.select(keep).slice(first, k + 1 - first))
+                    yield out()
+                    words.clear(), spaced.clear(), bare.clear(), held.clear(), sizes.clear()
+                    seq, first = array("I"), k + 1
+            if first < b.num_rows:
+                held.append(b.select(keep).slice(first))
+        if held:
             yield out()
-            spaced, words = Counter(), Counter()
-    yield out()
 
+    return run
 
-def vocabulary(docs: DataFrame, path: str, to: str) -> int:
-    """The distinct words that the texts repeat, folded, to a look-up table in the folder; returns their number.
 
-    A table entry saves nothing for a word that occurs once: encode() merges it where it stands.
+def chunked(docs: DataFrame, to: str) -> DataFrame:
+    """docs (doc_id, text, ...) to chunks of rows, written to the folder: the other columns, distinct tokens, words as tokens, texts as words.
+
+    Texts are cut once. A chunk ends at so many words or distinct words, so its size
+    is bounded but for one text. A null text is empty.
     """
-    words = docs.select("text").mapInArrow(_distinct, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    keep = [c for c in docs.columns if c not in ("text", "ids", "ids_sha256")]
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    rows = docs.select(*keep, "text").mapInArrow(_cutter(keep), f"rows array<struct<{fields}>>, tokens array<string>, split_n binary, split binary, seq_n binary, seq binary")
+    # a row is some MB, so row groups are checked for their size at each
+    rows.write.options(**{"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}).parquet(f"{to}/chunks")
+    return docs.sparkSession.read.parquet(f"{to}/chunks")
+
+
+def vocabulary(chunks: DataFrame, path: str, to: str) -> int:
+    """The distinct tokens of all chunks, folded, to a look-up table in the folder; returns their number."""
+    words = chunks.select(F.explode("tokens").alias("key")).where(F.octet_length("key") <= LONGEST).distinct()
     packed = F.unhex(F.array_join(F.transform("ids", lambda i: F.lpad(F.hex((i % 256 * 256 + F.shiftright(i, 8)).cast("long")), 4, "0")), ""))  # 16 bits each, little-endian
-    return lookup.write(encoded(words, ranks(path)).select("key", packed.alias("value")), to, parts(docs.sparkSession))
+    return lookup.write(encoded(words, path).select("key", packed.alias("value")), to, parts(chunks.sparkSession))
 
 
-def encode(docs: DataFrame, path: str, to: str) -> DataFrame:
-    """docs (doc_id, text, ...) with ids array<int> and ids_sha256 in place of the text.
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices of a flat array one after another."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
 
-    Words come from the look-up table that vocabulary() wrote; longer ones, and any
-    that it lacks, are merged here. A null text is empty; ids of the empty text are
-    an empty array. Rows stay one to one, ids and other columns as they are.
-    """
-    keep = [c for c in docs.columns if c not in ("text", "ids", "ids_sha256")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, rank = regex.compile(public_tokenizers.PATTERN), ranks(path)
-        known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {"": b""})  # of words with and without a space before
-
-        def found(keys: list[bytes]) -> Iterator[bytes]:
-            for k, v in zip(keys, lookup.find(to, keys), strict=True):
-                yield v if v is not None else array("H", merge(k, rank)).tobytes()
-
-        def learn(asked: tuple[set[str], set[str]]) -> None:
-            for k, asked_, lead in zip(known, asked, (" ", ""), strict=True):
-                new = [w for w in asked_ if w not in k]
-                whole = [w for w in new if w.isalpha()]  # each one word to the pattern
-                k.update(zip(whole, found([f"{lead}{w}".encode() for w in whole]), strict=True))
-                split = {w: pattern.findall(f"{lead}{w}") for w in new if not w.isalpha()}
-                words = [*{x for s in split.values() for x in s}]
-                ids = dict(zip(words, found([x.encode() for x in words]), strict=True))
-                k.update((w, b"".join([ids[x] for x in s])) for w, s in split.items())
-
-        def block(texts: list[str]) -> list[np.ndarray]:
-            cut = [_pieces(t) for t in texts]
-            tokens = [[_mark(m, i == len(runs) - 1 and not runs[i]) for i, m in enumerate(marks)] for marks, runs in cut]
-            inner = {w for _, runs in cut for r in runs for w in r}
-            plain = {r[0] for (_, runs), t in zip(cut, tokens, strict=True) for r, (_, lead) in zip(runs, t, strict=True) if r and not lead} | {x for t in tokens for y, _ in t for x in y}
-            learn((inner, plain))
-            spaced, bare = known
-            flat = []
-            for (_, runs), t in zip(cut, tokens, strict=True):
-                out = []
-                for r, (marks, lead) in zip(runs, t, strict=True):
-                    out += [bare[x] for x in marks]
-                    if r:
-                        out.append((spaced if lead else bare)[r[0]])
-                        out += [spaced[w] for w in r[1:]]
-                flat.append(np.frombuffer(b"".join(out), "<u2").astype("<u4"))
-            return flat
+def _starts(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size) - size
 
+
+def _joiner(path: str, to: str, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = ranks(path)
         for b in batches:
-            flat, held, size = [], [], 0
-            for x in b.column("text"):
-                held.append(x.as_py() or "")
-                size += len(held[-1])
-                if size >= BLOCK:
-                    flat += block(held)
-                    held, size = [], 0
-                    if len(known[0]) > REMEMBER:
-                        known = ({}, {"": b""})
-            flat += block(held)
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in flat])]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat).view(np.int32) if flat else [], pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), column, pa.array([hashlib.sha256(f.tobytes()).hexdigest() for f in flat])], names=[*keep, "ids", "ids_sha256"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, ids array<int>, ids_sha256 string")
+            for i in range(b.num_rows):
+                of = lambda c: _unplanes(b.column(c)[i].as_buffer())  # noqa: B023, E731
+                rows = b.column("rows")[i].values
+                keys = [x.encode() for x in b.column("tokens")[i].values.to_pylist()]
+                flat, start, size = lookup.slices(to, keys)
+                lost = np.flatnonzero(start < 0)
+                more = [array("H", merge(keys[k], rank)) for k in lost.tolist()]  # words beyond LONGEST
+                flat = np.concatenate([flat.view("<u2"), *(np.frombuffer(m, np.uint16) for m in more)])
+                size = size // 2
+                start = np.where(start < 0, 0, start // 2)
+                if len(lost):
+                    size[lost] = [len(m) for m in more]
+                    start[lost] = len(flat) - int(size[lost].sum()) + _starts(size[lost])
+                split, n = of("split").astype(np.int64), of("split_n").astype(np.int64)
+                flat, by = _gather(flat, start[split], size[split]), np.concatenate([[0], np.cumsum(size[split])])
+                ends = np.cumsum(n)
+                start, size = by[ends - n], by[ends] - by[ends - n]
+                seq, n = of("seq").astype(np.int64), np.cumsum(of("seq_n").astype(np.int64))
+                ends = np.concatenate([[0], np.concatenate([[0], np.cumsum(size[seq])])[n]])
+                ids = _gather(flat, start[seq], size[seq]).astype("<u4")
+                digests = [hashlib.sha256(ids[x:y]).hexdigest() for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(rows.field(k) for k in range(len(keep))), column, pa.array(digests)], names=[*keep, "ids", "ids_sha256"])
+
+    return run
+
+
+def encode(chunks: DataFrame, path: str, to: str) -> DataFrame:
+    """chunks to their rows: the other columns, ids array<int> and ids_sha256.
+
+    Tokens come from the look-up table that vocabulary() wrote; those too long for
+    it are merged here. Ids of the empty text are an empty array. Rows stay one to
+    one, ids and other columns as they are.
+    """
+    fields = chunks.schema["rows"].dataType.elementType.fields
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return chunks.mapInArrow(_joiner(path, to, [f.name for f in fields]), f"{schema}, ids array<int>, ids_sha256 string")
 
 
 def decode(ids: Column, path: str) -> Column:
-    """The bytes of ids: their pieces concatenated."""
+    """The bytes of ids: their binary pieces concatenated; a cast of binary to string keeps any bytes."""
     rank = ranks(path)
-    pieces = F.from_json(F.lit(json.dumps([k.hex() for k in sorted(rank, key=rank.get)])), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    pieces = F.from_json(F.lit(json.dumps([base64.b64encode(k).decode() for k in sorted(rank, key=rank.get)])), "array<binary>").cast("array<string>")
+    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "").cast("binary")
 
 
-def _round_trip(docs: DataFrame, path: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """docs (doc_id, text, ...) to the other columns, ids, ids_sha256, n_tokens, decoded_sha256; columns of these names give way."""
     to = own_dir(docs.sparkSession, "bpe")
-    vocabulary(docs, path, to)
-    return encode(docs, path, to).withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(decode(F.col("ids"), path), 256)})
+    chunks = chunked(docs.drop("n_tokens", "decoded_sha256"), to)
+    vocabulary(chunks, path, to)
+    return encode(chunks, path, to).withColumns({"n_tokens": F.size("ids").cast("long"), "decoded_sha256": F.sha2(decode(F.col("ids"), path), 256)})
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Every whole document encoded and decoded; a null text is empty, rows that repeat stay, an empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _round_trip(docs, path or public_tokenizers.path("byte_bpe_50k.tiktoken")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return round_trip(docs, path or public_tokenizers.path("byte_bpe_50k.tiktoken")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids in place of its text, with digests of the ids and of the decoded bytes."""
-    out = _round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return out.select(*[c for c in docs.columns if c != "text"], "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    """Each document's ids in place of its text, with digests of the ids and of the decoded bytes.
+
+    Null and empty texts have no ids; repeated rows and null ids stay; further
+    columns stay but for those named n_tokens, ids, ids_sha256, decoded_sha256.
+    """
+    out = round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    made = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    return out.select(*[c for c in docs.columns if c not in ("text", *made)], *made)

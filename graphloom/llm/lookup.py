@@ -139,6 +139,29 @@ def find(to: str, keys: Sequence[bytes]) -> list[bytes | None]:
     return out
 
 
+def slices(to: str, keys: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of the keys in one array of bytes, with where each begins (-1: not in the table) and its size."""
+    at, begin = places(to, keys), starts(to)
+    where, size = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+    asked = np.flatnonzero(at >= 0)
+    asked = asked[np.argsort(at[asked])]
+    of = np.searchsorted(begin, at[asked], "right") - 1
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+    flat, total = [], 0
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        if x == y:
+            continue
+        b, ask = int(of[x]), asked[x:y]
+        own = at[ask] - begin[b]
+        ends = load(to, f"{b:03d}.ends", "u4")
+        a, n = ends[own].astype(np.int64), ends[own + 1].astype(np.int64) - ends[own]
+        before = np.cumsum(n) - n
+        flat.append(load(to, f"{b:03d}.blob", "u1")[np.repeat(a - before, n) + np.arange(int(n.sum()))])
+        where[ask], size[ask] = total + before, n
+        total += int(n.sum())
+    return (np.concatenate(flat) if flat else np.empty(0, np.uint8)), where, size
+
+
 def numbers(to: str, at: np.ndarray, dtype: str = "<i8") -> np.ndarray:
     """Values of a fixed size, as numbers, of places in ascending order."""
     start = starts(to)
