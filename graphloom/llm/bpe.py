@@ -10,6 +10,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,7 @@ def encoded(words: DataFrame, path: str) -> DataFrame:
     table_ = F.from_json(F.lit(_hashed(path)), "struct<d:array<int>,k:array<binary>,v:array<int>>")
     place = lambda x: x.bitwiseAND(F.lit((1 << AT) - 1)).cast("int")
     entry = lambda rank, at: F.shiftleft(rank, AT) + at
-    empty, none = F.array().cast("array<bigint>"), F.lit(_NONE)
+    none = F.lit(_NONE)
 
     def word(t: Column) -> Column:
         w = F.col("key").cast("binary")
@@ -136,9 +137,9 @@ def encoded(words: DataFrame, path: str) -> DataFrame:
             def merged(j: Column) -> Column:
                 here, before = place(F.get(r, j - 1)), place(F.get(r, j - 2))
                 end, beyond = (F.coalesce(place(F.get(r, j + k)), n) for k in (1, 2))
-                left = F.when(j > 1, F.array(entry(pair(before, end), before))).otherwise(empty)
-                right = F.array(entry(F.when(j + 1 < F.size(r), pair(here, beyond)).otherwise(none), here))
-                return F.concat(F.slice(r, 1, F.greatest(j - 2, F.lit(0))), left, right, F.slice(r, j + 2, F.size(r)))
+                left = lambda: entry(pair(before, end), before)
+                right = lambda: entry(F.when(end < n, pair(here, beyond)).otherwise(none), here)
+                return F.transform(F.array_remove(r, F.get(r, j)), lambda x, i: F.when(i == j - 1, right()).when(i == j - 2, left()).otherwise(x))
 
             least = F.array_min(r)
             return F.when(least >= _NONE << AT, r).otherwise(_let(F.array_position(r, least).cast("int"), merged))
@@ -184,12 +185,12 @@ def pieces(text: str) -> list[str]:
 class _Index(dict):
     """Numbers words as they are met."""
 
-    def __init__(self, lead: str, words: list[str]) -> None:
+    def __init__(self, lead: str, words: list[tuple[str, str]]) -> None:
         self.lead, self.words = lead, words
 
     def __missing__(self, w: str) -> int:
         n = self[w] = len(self.words)
-        self.words.append(self.lead + w)
+        self.words.append((self.lead, w))
         return n
 
 
@@ -205,31 +206,38 @@ def _unplanes(b: pa.Buffer) -> np.ndarray:
 def _cutter(keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = regex.compile(public_tokenizers.PATTERN)
-        words: list[str] = []
+        words: list[tuple[str, str]] = []
         spaced, bare = _Index(" ", words), _Index("", words)
         seq, sizes, held = array("I"), [], []
 
         def out() -> pa.RecordBatch:
             tokens = _Index("", [])
             split, n = array("I"), np.empty(len(words), np.uint32)
-            for i, w in enumerate(words):
-                if w[1:].isalpha() and (w[0] == " " or w[0].isalpha()):  # one token to the pattern
-                    split.append(tokens[w])
+            for i, (lead, w) in enumerate(words):
+                if w.isalpha():  # one token to the pattern
+                    split.append(tokens[lead + w])
                     n[i] = 1
                 else:
-                    x = pattern.findall(w)
+                    x = pattern.findall(lead + w)
                     split.extend(map(tokens.__getitem__, x))
                     n[i] = len(x)
             rows = pa.Table.from_batches(held).combine_chunks()
             struct = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in keep], fields=[rows.schema.field(c) for c in keep])
             of = lambda x: pa.array([_planes(np.asarray(x, np.uint32))], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct), pa.array([tokens.words], pa.list_(pa.string())), of(n), of(split), of(sizes), of(seq)], names=["rows", "tokens", "split_n", "split", "seq_n", "seq"])
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(struct)], pa.int32()), struct), pa.array([[w for _, w in tokens.words]], pa.list_(pa.string())), of(n), of(split), of(sizes), of(seq)], names=["rows", "tokens", "split_n", "split", "seq_n", "seq"])
 
         for b in batches:
             first = 0
             for k, x in enumerate(b.column("text")):
-                marks, runs = _pieces(x.as_py() or "")
+                text = x.as_py() or ""
                 at = len(seq)
+                if "  " not in text:  # no run of white space goes across a cut at a space
+                    plain = text.split(" ")
+                    seq.append(bare[plain[0]])
+                    seq.extend(map(spaced.__getitem__, islice(plain, 1, None)))
+                    marks, runs = [], []
+                else:
+                    marks, runs = _pieces(text)
                 for i, (m, r) in enumerate(zip(marks, runs, strict=True)):
                     tokens, lead = _mark(m, i == len(runs) - 1 and not r)
                     if tokens:

@@ -27,10 +27,12 @@ def crc_mod(c: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of this machine only where the session names none."""
+    """The folder that all executors share, as spark.checkpoint.dir names it; without one, a folder of this machine in local mode alone."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="graphloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -47,5 +49,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that the table has; for columns that an operator adds beside all of a table's own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def col(name: str) -> Column:
+    """A top-level column whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
