@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import col, cut, free, table
 from .components import components
 
 SEED, SHINGLE = 42, 3
 #: Fingerprints of 8 bytes that differ in at most 3 bits share at least 5 bytes in place.
 BITS, SHARED = 3, 5
-#: The 14 blocks of the Steiner system S(3,4,8): any 5 of the 8 places hold exactly one, any 6 or more at least one.
-BLOCKS = [b for b in combinations(range(8), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
+#: Places of the bytes of a posting's key. A list of one positional byte would hold a 256th of all fingerprints, so postings are of four.
+GRAM = 4
+PLACES = [*combinations(range(8), GRAM)]
+#: Postings in common of a pair that shares the guaranteed bytes: a pair with k bytes in place shares k over GRAM.
+LEAST = math.comb(SHARED, GRAM)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-MASKS = [_signed(sum(0xFF << 8 * i for i in b)) for b in BLOCKS]
+MASKS = [_signed(sum(0xFF << 8 * i for i in p)) for p in PLACES]
 
 
 def fingerprint(text: str | None) -> int:
@@ -62,17 +65,15 @@ def prints(docs: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """fps (fp, distinct) to the pairs a < b that differ in at most 3 bits, each once.
 
-    Posting lists hold a block of four positional bytes: a pair with 5 bytes in
-    common meets in one of the 14 lists of its blocks. There its shared bytes are
-    tallied and, where they reach the minimum, its bits are compared; the first
-    block that the pair shares reports it, so no pair needs to be made distinct.
+    An inverted index over bytes in their positions: a posting list is known by four
+    places and the bytes there. Every pair of a list counts one; a pair's tally tells
+    how many bytes it shares in place, and those that reach the count of the
+    guaranteed five are verified by their bits.
     """
-    lists = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in MASKS])).alias("block", "key"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    same: Column = reduce(lambda p, q: p + q, [(x.bitwiseAND(F.lit(_signed(0xFF << 8 * i))) == 0).cast("int") for i in range(8)])
-    first = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(MASKS)])
+    lists = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in MASKS])).alias("places", "bytes"))
     left, right = lists.withColumnRenamed("fp", "a"), lists.withColumnRenamed("fp", "b")
-    return left.join(right, ["block", "key"]).where((F.col("a") < F.col("b")) & (same >= SHARED) & (F.bit_count(x) <= BITS) & (first == F.col("block"))).select("a", "b")
+    met = left.join(right, ["places", "bytes"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("tally"))
+    return met.where((F.col("tally") >= LEAST) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b")
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -100,14 +101,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document; nulls, repeats and empty tables as in near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the least id (then text hash)."""
+    """One document of each component stays: that with the least id, then text hash; one without id only where no other is there.
+
+    Null, empty and blank texts are copies of one another. Rows that repeat id and
+    text are one document. An empty table gives an empty one; further columns stay.
+    """
     rows = cut(prints(docs))
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     keep = rows.join(groups(rows).select("fp", "component"), "fp").groupBy("component").agg(F.min(best).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.tie").alias("_t"))
     own = docs.columns
-    d = docs.withColumn("_tie", F.xxhash64("text"))
-    return d.join(keep, d["doc_id"].eqNullSafe(keep["_id"]) & (d["_tie"] == keep["_t"]), "left_semi").dropDuplicates(["doc_id", "_tie"]).select(*own)
+    (tie,) = free(docs, "_tie")
+    d = docs.withColumn(tie, F.xxhash64("text"))
+    keep = keep.select(F.col("_id").alias(f"{tie}_id"), F.col("_t").alias(f"{tie}_t"))
+    return d.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{tie}_id")) & (F.col(tie) == F.col(f"{tie}_t")), "left_semi").dropDuplicates(["doc_id", tie]).select(*map(col, own))

@@ -44,11 +44,13 @@ def found(df):
     return sorted((tuple(r) for r in simhash.near_duplicates(df).collect()), key=str)
 
 
-def test_blocks_are_a_steiner_system():
-    from itertools import combinations
-
-    assert len(simhash.BLOCKS) == 14
-    assert all(sum(set(b) <= set(five) for b in simhash.BLOCKS) == 1 for five in combinations(range(8), 5))
+def test_tallies_tell_shared_bytes(spark):
+    base = 0x0123456789ABCDEF
+    fps = [base, *(base ^ sum(0x80 << 8 * i for i in range(k)) for k in range(1, 5))]  # 7 to 4 bytes in place
+    rows = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    near = {(r.a, r.b) for r in simhash.links(rows).collect()}
+    assert near == {(min(x, y), max(x, y)) for x in (r.fp for r in rows.collect()) for y in (r.fp for r in rows.collect()) if x != y and ((x ^ y) & (1 << 64) - 1).bit_count() <= 3}
+    assert len(simhash.MASKS) == 70 and simhash.LEAST == 5
 
 
 def test_against_all_pairs(spark, sf):
