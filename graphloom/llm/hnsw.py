@@ -8,15 +8,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
 from pyspark.sql import functions as F
 
-from .common import cut, parts, table
+from . import lookup
+from .common import cut, own_dir, parts, table
 from .components import components
 
 COSINE = 0.93
 #: Vectors of a shard: the memory bound of a task.
 SHARD = 16_384
 M, BUILD_BEAM, FIRST_BEAM = 12, 64, 32
+#: Queries that one task puts to a shard, so that a label of any size is many tasks' work.
+CHUNK = 8_192
 #: Share of a shard's audited links that a beam must find; and one of how many vectors is audited at first.
 RECALL, AUDIT = 0.995, 20
 #: Fewest links to other vectors that prove the recall: were it less, chance would find them all in under 5 % of audits.
@@ -257,52 +261,77 @@ def links_between(have: np.ndarray, ask: np.ndarray, cosine: float = COSINE, gra
     return i[keep], j[keep]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (task, asks): a task's shard, then its queries, which are asked as they come."""
+def _rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(tasks, ids, components, where each row's begin, where a task's rows begin) of rows (task, node, embedding)."""
+    tasks, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+    flat = b.column(2)
+    cuts = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
+    return tasks, ids, flat.flatten().to_numpy(zero_copy_only=False), flat.offsets.to_numpy() - flat.offsets[0].as_py(), cuts
 
-    graphs: dict = {}
 
-    def ask(have: list, held: list) -> pa.RecordBatch:
-        ids = np.concatenate([h[0] for h in have])
-        q_ids = np.concatenate([h[0] for h in held])
-        rows = np.concatenate([h[1] for h in have])
-        if task not in graphs:
-            graphs.clear()
-            graphs[task] = Graph(_unit(rows.astype(np.float64)))
-        at = np.searchsorted(ids, q_ids)  # rows come sorted by node
-        own = np.where(ids[np.minimum(at, len(ids) - 1)] == q_ids, at, -1)
-        i, j = links_between(rows, np.concatenate([h[1] for h in held]), graph=graphs[task], own=own)
-        u, v = q_ids[i], ids[j]
-        return pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["a", "b"])
-
-    task, have, held, n = None, [], [], 0
+def _by_task(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows sorted by task to (task, ids, vectors), a task in pieces of about `most` rows."""
+    task, held, n = None, [], 0
     for b in batches:
-        tasks, asks, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        flat = b.column(3)
-        x = flat.flatten().to_numpy(zero_copy_only=False)
-        offsets = flat.offsets.to_numpy()
-        cuts = [0, *(np.flatnonzero((tasks[1:] != tasks[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(tasks)]
+        tasks, ids, x, at, cuts = _rows(b)
         for s, e in zip(cuts, cuts[1:], strict=False):
             if s == e:
                 continue
-            if tasks[s] != task:
-                if held:
-                    yield ask(have, held)
-                task, have, held, n = tasks[s], [], [], 0
-            part = (ids[s:e], x[offsets[s] - offsets[0] : offsets[e] - offsets[0]].reshape(e - s, -1))
-            if asks[s]:
-                held.append(part)
-                n += e - s
-            else:
-                have.append(part)
-            if n >= SHARD:
-                yield ask(have, held)
+            if held and (tasks[s] != task or most and n >= most):
+                yield task, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                 held, n = [], 0
-    if held and have:
-        yield ask(have, held)
-
-
-def near_duplicates(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
+            task = tasks[s]
+            held.append((ids[s:e], x[at[s] : at[e]].reshape(e - s, -1)))
+            n += e - s
+    if held:
+        yield task, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+
+
+def _builder(to: str):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (shard, node, embedding), sorted, to a graph's files for each shard."""
+        system, root = fs.FileSystem.from_uri(to)
+        n = 0
+        for shard, ids, x in _by_task(batches):
+            g = Graph(_unit(x.astype(np.float64)))
+            files = {"ids": ids, "rows": x.astype("<f8")} | {f"near{k}": v for k, v in enumerate(g.near)}
+            files["head"] = np.array([len(x), x.shape[1], g.entry, *(v.shape[1] for v in g.near)], "<i8")
+            for k, v in files.items():
+                lookup.save(system, f"{root}/{int(shard) & (1 << 64) - 1:016x}.{k}", v)
+            n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return build
+
+
+def _load(to: str, shard: int) -> tuple[np.ndarray, np.ndarray, Graph]:
+    """(ids, vectors, graph) of a shard, as its builder wrote them."""
+    of = lambda k, kind: lookup.load.__wrapped__(to, f"{int(shard) & (1 << 64) - 1:016x}.{k}", kind)
+    n, size, entry, *widths = of("head", "<i8").tolist()
+    rows = of("rows", "<f8").reshape(n, size)
+    g = Graph.__new__(Graph)
+    g.x, g.entry = _unit(rows).astype(np.float32), entry
+    g.near = [of(f"near{k}", "<i4").reshape(n, w) for k, w in enumerate(widths)]
+    return of("ids", "<i8"), rows, g
+
+
+def _asker(to: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (shard, node, embedding), sorted, to the links (a, b) of each node in the shard."""
+        last = None
+        for shard, q_ids, q in _by_task(batches, CHUNK):
+            if shard != last:
+                (ids, rows, g), last = _load(to, shard), shard
+            at = np.searchsorted(ids, q_ids)  # rows were written sorted by node
+            own = np.where(ids[np.minimum(at, len(ids) - 1)] == q_ids, at, -1)
+            i, j = links_between(rows, q, graph=g, own=own)
+            u, v = q_ids[i], ids[j]
+            yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["a", "b"])
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, shard: int = SHARD, chunk: int = CHUNK) -> DataFrame:
     """vectors (vec_id, embedding, label) to vec_id, n_links, component_id, kept; a row for each row.
 
     Equal vectors of a label are one node of their number, so copies are never
@@ -320,14 +349,19 @@ def near_duplicates(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     nodes = d.where("fine").groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
     size = F.size("embedding").alias("size")
-    shards = nodes.groupBy("label", size).agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    shards = nodes.groupBy("label", size).agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.count("*").alias("rows"))
     of = nodes.select("label", "embedding", "node", size).join(shards, ["label", "size"])
     key = F.struct("label", "size")
     mine = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
-    have = of.select(F.xxhash64(key, mine).alias("task"), F.lit(0).alias("asks"), "node", "embedding")
-    ask = of.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(F.xxhash64(key, F.col("s")).alias("task"), F.lit(1).alias("asks"), "node", "embedding")
-    rows = have.union(ask).repartition(parts(vectors.sparkSession), "task").sortWithinPartitions("task", "asks", "node")
-    found = rows.mapInArrow(_pairs, "a long, b long")
+    to, spark = own_dir(vectors.sparkSession, "graphs"), vectors.sparkSession
+    system, root = fs.FileSystem.from_uri(to)
+    system.create_dir(root, recursive=True)
+    have = of.select(F.xxhash64(key, mine).alias("task"), "node", "embedding").repartition(parts(spark), "task").sortWithinPartitions("task", "node")
+    have.mapInArrow(_builder(to), "n long").agg(F.sum("n")).collect()
+    ask = of.withColumn("s", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("chunk", F.pmod(F.xxhash64("node", "s"), F.ceil(F.col("rows") / chunk)))
+    ask = ask.select(F.xxhash64(key, F.col("s")).alias("task"), "node", "embedding", "chunk")
+    tasks = shards.agg(F.coalesce(F.sum(F.col("shards") * F.ceil(F.col("rows") / chunk)), F.lit(1))).first()[0]
+    found = ask.repartition(max(parts(spark), min(int(tasks), 100 * parts(spark))), "task", "chunk").drop("chunk").sortWithinPartitions("task", "node").mapInArrow(_asker(to), "a long, b long")
     links = cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     both = links.union(links.select("b", "a")).toDF("node", "other")
     near = both.join(nodes.select(F.col("node").alias("other"), "n"), "other").groupBy("node").agg(F.sum("n").alias("others"))
@@ -340,4 +374,5 @@ def near_duplicates(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector; nulls, repeats and empty tables as in near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

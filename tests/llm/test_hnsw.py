@@ -47,7 +47,7 @@ def test_against_all_pairs(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert found(spark, rows) == brute(rows)
     rows = cloud(1)
-    assert found(spark, rows) == brute(rows) == found(spark, rows, shard=40)
+    assert found(spark, rows) == brute(rows) == found(spark, rows, shard=40) == found(spark, rows, shard=40, chunk=30)
 
 
 def test_awkward_rows(spark):
