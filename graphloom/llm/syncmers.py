@@ -9,16 +9,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Units of a text: up to four letters or digits, counted from a word's start, or one other character that is no white space.
-UNIT = r"\w{1,4}|[^\w\s]"
+#: Units of a text: up to four letters or digits, counted from a word's start, or one other character; characters of scripts that write no spaces are units by themselves.
+UNIT = r"[\p{L}\p{N}&&[^\u0E00-\u0EFF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF]]{1,4}|[^\x20\x09-\x0D]"
 #: A k-mer is K units; its inner substrings are of S units.
-K, S = 4, 2
-#: Anchors that the sketch of a text keeps, those of least hash, 32 bits each.
-KEEP = 64
-#: Bits of an anchor's place in its text.
-AT_BITS = 30
-#: Bits of an id that tell documents of one run of neighbours apart.
-RUN_BITS = 10
+K, S = 8, 2
+#: Bits of the number of units from one anchor to the next, which is K - S at most, and hexadecimal digits of an anchor.
+GAP_BITS, DIGITS = 4, 9
+#: Documents of a run of neighbours, about.
+RUN = 1024
 #: Most runs whose table is broadcast (at about 40 bytes a row); more are joined by a shuffle.
 FEW_RUNS = 50_000
 
@@ -29,16 +27,18 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """All anchors of a text in text order, each as hash << 30 | the number of units before it.
+    """All anchors of a text in text order, each as hash << GAP_BITS | the number of units since the one before.
 
     Closed syncmers: a k-mer of units is chosen if the least hash of its inner
     s-mers is at its first or last place, so that the choice depends on the k-mer
-    alone. An anchor is the 32-bit hash of a chosen k-mer. A text of fewer units is
-    one k-mer; one without any has no anchors. Null: as the empty text.
+    alone; of any K - S + 1 in a row one at least is chosen, so that anchors grow
+    with the text and no stretch is without. An anchor is the 32-bit hash of a chosen
+    k-mer. A text of fewer units is one k-mer; one without any has no anchors. Null:
+    as the empty text.
     """
     units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
     w = K - S + 1
-    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
+    packed = lambda h, gap: F.shiftleft(h.bitwiseAND(F.lit(0xFFFFFFFF)), GAP_BITS) + gap
 
     def of(u: Column) -> Column:
         n = F.size(u)
@@ -49,80 +49,45 @@ def anchors(text: Column) -> Column:
                 least = F.least(*[F.get(h, i + j) for j in range(w)])
                 return (F.get(h, i) == least) | (F.get(h, i + (w - 1)) == least)
 
-            at = F.filter(F.sequence(F.lit(0), n - K), edge)
-            return F.transform(at, lambda i: F.shiftleft(low(F.xxhash64(F.get(h, i), F.get(h, i + (w - 1)))), AT_BITS) + i)
+            whole = lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(0, w, S)])
+            return _let(F.filter(F.sequence(F.lit(0), n - K), edge), lambda at: F.transform(at, lambda i, k: packed(whole(i), i - F.coalesce(F.get(at, k - 1), i))))
 
-        short = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.shiftleft(low(F.xxhash64(F.array_join(u, "\x00"))), AT_BITS)))
+        short = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array(packed(F.xxhash64(F.array_join(u, "\x00")), F.lit(0))))
         return F.when(n < K, short).otherwise(_let(inner, chosen))
 
     return _let(units, of)
 
 
-def sketch(anchors: Column) -> Column:
-    """The least KEEP hashes of the anchors in ascending order, 8 hexadecimal digits each."""
-    least = F.slice(F.array_sort(F.array_distinct(F.transform(anchors, lambda x: F.shiftright(x, AT_BITS)))), 1, KEEP)
-    return F.array_join(F.transform(least, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+def fingerprint(anchors: Column) -> Column:
+    """The anchors as text, DIGITS hexadecimal digits each; without any, empty."""
+    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x), DIGITS, "0")), "")
 
 
-def fingerprint(text: Column) -> Column:
-    """The sketch of a text: its least anchors; one without any has the empty sketch."""
-    return sketch(anchors(text))
+def links(anchors: Column) -> Column:
+    """What a text's anchors say of position: a hash of each with its distance from the one before, repeats once.
 
-
-def positional_likeness(a: Column, b: Column) -> Column:
-    """Likeness of two lists of all anchors, 0 to 1: twice the anchors matched in position by the number of both.
-
-    Of a hash, the first anchor of one text meets the first of the other, the second
-    the second, and so on. A meeting is in position if the one before or after it in
-    the text is at the same distance between both texts; a lone one is chance.
+    Two texts share a link where two neighbouring anchors are at the same distance
+    in both, wherever that is, so a passage is matched after any shift.
     """
-    runs_of = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.shiftright(F.get(s, i), AT_BITS) != F.shiftright(F.get(s, i - 1), AT_BITS)))
-    at = lambda x: x.bitwiseAND(F.lit((1 << AT_BITS) - 1))
-
-    def met(x: Column) -> Column:
-        s, r = x["s"], x["r"]
-        hash_of = lambda j: F.shiftright(F.get(s, F.get(r, j)), AT_BITS + 1)
-
-        def pairs(j: Column) -> Column:
-            here, there = F.get(r, j), F.get(r, j + 1)
-            n = F.least(there - here, F.coalesce(F.get(r, j + 2), F.size(s)) - there)
-            return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.shiftleft(at(F.get(s, here + k)), AT_BITS) + at(F.get(s, there + k)))
-
-        first = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda j: hash_of(j) == hash_of(j + 1))
-        return F.sort_array(F.flatten(F.transform(first, pairs)))
-
-    def in_position(m: Column) -> Column:
-        shift = lambda i: F.when((i >= 0) & (i < F.size(m)), at(F.get(m, i)) - F.shiftright(F.get(m, i), AT_BITS))
-        alike = lambda i: F.coalesce(shift(i) == shift(i - 1), F.lit(False)) | F.coalesce(shift(i) == shift(i + 1), F.lit(False))
-        return F.when(F.size(m) == 0, 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.size(m) - 1), alike)))
-
-    # hash, side and place in one number, so that the sort brings a hash's anchors of one text before those of the other
-    side = lambda c, n: F.transform(c, lambda x: F.shiftleft(F.shiftright(x, AT_BITS), AT_BITS + 1) + F.lit(n << AT_BITS) + at(x))
-    count = _let(_let(_let(F.sort_array(F.concat(side(a, 0), side(b, 1))), lambda s: F.struct(s.alias("s"), runs_of(s).alias("r"))), met), in_position)
-    return F.when(a == b, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * count / (F.size(a) + F.size(b)))
+    return F.array_distinct(_let(anchors, lambda v: F.transform(v, lambda x, i: F.xxhash64(x, F.shiftright(F.get(v, i - 1), GAP_BITS)))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two sketches, 0 to 1: of the least anchors of both together, the share p that both hold, as 2p / (1 + p).
+    """Likeness of two texts by their links, 0 to 1: twice those in common by the number of both.
 
-    That estimates the anchors in common against the mean of both texts' anchors.
-    Two empty fingerprints are alike, an empty one and another are not.
+    Two texts without anchors are alike, one without and another are not.
     """
-    anchors = lambda p: F.regexp_extract_all(p, F.lit("[0-9A-F]{8}"), F.lit(0))
-
-    def of(x: Column) -> Column:
-        both = F.slice(F.array_sort(F.array_union(x["p"], x["q"])), 1, KEEP)
-        share = F.size(F.array_intersect(F.array_intersect(both, x["p"]), x["q"])) / F.size(both)
-        return 2 * share / (1 + share)
-
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(_let(F.struct(anchors(a).alias("p"), anchors(b).alias("q")), of))
+    n = F.size(a) + F.size(b)
+    return F.when(n == 0, 1.0).otherwise(2 * F.size(F.array_intersect(a, b)) / n)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, known, run, tie: runs of neighbouring ids; rows without id come first, by text hash."""
+    """doc_id, text, known, run, tie: runs of neighbouring ids, as wide as hold RUN rows on the whole; rows without id come first, by text hash."""
+    n, low, high = docs.select(F.col("doc_id").cast("long").alias("i")).agg(F.count("i"), F.min("i"), F.max("i")).first()
+    bits = max(0, ((high - low + 1) * RUN // n).bit_length() - 1) if n else 0
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     none, tie = F.col("doc_id").isNull(), F.xxhash64("text")
-    return d.withColumns({"known": ~none, "run": F.when(none, F.shiftright(tie, 44)).otherwise(F.shiftright("doc_id", RUN_BITS)), "tie": F.when(none, tie).otherwise(F.col("doc_id"))})
+    return d.withColumns({"known": ~none, "run": F.when(none, F.shiftright(tie, 44)).otherwise(F.shiftright("doc_id", min(bits, 63))), "tie": F.when(none, tie).otherwise(F.col("doc_id"))})
 
 
 def _heads(keyed: DataFrame) -> DataFrame:
@@ -143,17 +108,18 @@ def _heads(keyed: DataFrame) -> DataFrame:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, anchors, edited_anchors, same_edited, same_next; a row for each row.
+    """docs (doc_id, text) to doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors; a row for each row.
 
-    anchors are all closed syncmers of a text in its order, and the two same_ columns
-    match them in position; fingerprint and the near_ columns are the sketch of the
-    least KEEP, of a fixed size whatever the text's length.
+    A fingerprint holds every closed syncmer of its text in text order with its
+    distance from the one before, whatever the length; the near_ columns match them
+    in position. Repeats within a text count once in a likeness.
 
     The next document comes from a window over runs of neighbouring ids, to each of
     which a copy of the following run's first row is sent, so that texts move once
-    and no task holds more than a run. Null texts are empty. Of rows with one id,
-    that of the lesser text is first; rows without id come before all others. A
-    single row is followed by itself. An empty table gives an empty one.
+    and no task holds more than a run; a second window over the same rows brings the
+    next document's links. Null texts are empty. Of rows with one id, that of the
+    lesser text is first; rows without id come before all others. A single row is
+    followed by itself. An empty table gives an empty one.
     """
     d = _keyed(docs)
     heads = _heads(d).select(F.col("known").alias("_known"), F.col("run").alias("_run"), F.col("tie").alias("_tie"), "to_known", "to_run")
@@ -163,17 +129,17 @@ def prints(docs: DataFrame) -> DataFrame:
     d = d.select("doc_id", "text", "tie", F.explode(F.when(F.col("to_run").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at"))
     d = d.select("doc_id", "text", "tie", "at.guest", "at.k", "at.r")
     w = Window.partitionBy("k", "r").orderBy("guest", "tie", "text")
-    d = d.withColumn("next_text", F.lead("text").over(w)).where("not guest")
+    d = d.withColumn("next_text", F.lead("text").over(w))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     d = d.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))})
-    d = d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("anchors"), anchors(F.col("edited")).alias("edited_anchors"), anchors(F.col("next_text")).alias("next_anchors"))
-    d = d.withColumns({"fingerprint": sketch(F.col("anchors")), "edited_fingerprint": sketch(F.col("edited_anchors")), "next_fp": sketch(F.col("next_anchors"))})
-    near = [likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next")]
-    same = [positional_likeness(F.col("anchors"), F.col("edited_anchors")).alias("same_edited"), positional_likeness(F.col("anchors"), F.col("next_anchors")).alias("same_next")]
-    show = lambda c: F.transform(c, lambda x: F.struct(F.shiftright(x, AT_BITS).alias("hash"), x.bitwiseAND(F.lit((1 << AT_BITS) - 1)).cast("int").alias("at"))).alias(c)
-    return d.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near, show("anchors"), show("edited_anchors"), *same)
+    d = d.select("doc_id", "text", "tie", "guest", "k", "r", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), anchors(F.col("text")).alias("anchors"), F.when(~F.col("guest"), anchors(F.col("edited"))).alias("edited_anchors"))
+    d = d.withColumns({"links": links(F.col("anchors")), "edited_links": links(F.col("edited_anchors"))})
+    d = d.withColumn("next_links", F.lead("links").over(w)).where("not guest")
+    near = [likeness(F.col("links"), F.col(c)).alias(f"near_{c.removesuffix('_links')}") for c in ("edited_links", "next_links")]
+    return d.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("anchors")).alias("fingerprint"), fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"), *near, F.size("anchors").cast("long").alias("n_anchors"))
 
 
 def op3_syncmer_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document against its edited text and the next document; nulls, repeats and empty tables as in prints()."""
     return prints(table(spark, sf_dir, "documents"))

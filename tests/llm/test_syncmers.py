@@ -1,13 +1,13 @@
 import hashlib
-import re
-
+import random
+import regex
 import xxhash
 
 from graphloom.llm import syncmers
 
 from . import cases
 
-UNIT = re.compile(r"[A-Za-z0-9_]{1,4}|[^A-Za-z0-9_ \t\n\x0b\f\r]")
+UNIT = regex.compile(r"(?V1)[[\p{L}\p{N}]--[\u0E00-\u0EFF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF]]{1,4}|[^\x20\x09-\x0D]")
 
 
 def chain(*values, seed=42):
@@ -18,24 +18,24 @@ def chain(*values, seed=42):
     return seed - (1 << 64) if seed >> 63 else seed
 
 
-def slow(text):
+def placed(text):
+    """(place, hash) of each anchor."""
     u = UNIT.findall(text or "")
-    if len(u) < 4:
-        return f"{chain(chr(0).join(u)) & 0xFFFFFFFF:08X}" if u else ""
+    if len(u) < 8:
+        return [(0, chain(chr(0).join(u)) & 0xFFFFFFFF)] if u else []
     h = [chain(u[i], u[i + 1]) for i in range(len(u) - 1)]
-    got = {chain(h[i], h[i + 2]) & 0xFFFFFFFF for i in range(len(u) - 3) if min(h[i : i + 3]) in (h[i], h[i + 2])}
-    return "".join(f"{x:08X}" for x in sorted(got)[:64])
+    return [(i, chain(h[i], h[i + 2], h[i + 4], h[i + 6]) & 0xFFFFFFFF) for i in range(len(u) - 7) if min(h[i : i + 7]) in (h[i], h[i + 6])]
+
+
+def slow(text):
+    p = placed(text)
+    assert all(j - i <= 6 for (i, _), (j, _) in zip(p, p[1:]))
+    return "".join(f"{h << 4 | i - (p[k - 1][0] if k else i):09X}" for k, (i, h) in enumerate(p))
 
 
 def near(a, b):
-    if a == b:
-        return 1.0
-    p, q = ({x[i : i + 8] for i in range(0, len(x), 8)} for x in (a, b))
-    if not p or not q:
-        return 0.0
-    both = sorted(p | q)[:64]
-    s = sum(x in p and x in q for x in both) / len(both)
-    return 2 * s / (1 + s)
+    x, y = ({(h, i - (p[k - 1][0] if k else i), p[k - 1][1] if k else None) for k, (i, h) in enumerate(p)} for p in (placed(a), placed(b)))
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
 
 
 def brute(rows):
@@ -45,7 +45,7 @@ def brute(rows):
         t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
         h = len(t) // 2
         e = t[: len(t) - h] + nxt[:h]
-        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), slow(t), slow(e), round(near(slow(t), slow(e)), 9), round(near(slow(t), slow(nxt)), 9)))
+        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), slow(t), slow(e), round(near(t, e), 9), round(near(t, nxt), 9)))
     return sorted(out, key=str)
 
 
@@ -59,7 +59,7 @@ def test_against_a_loop(spark, sf):
 
 
 def test_awkward_rows(spark):
-    rows = [r[:2] for r in cases.ROWS if r[0] not in (6, 7)] + [(1 << 40, "far away text of one"), (-5000, "left half | right half, " * 3)]
+    rows = [r[:2] for r in cases.ROWS if r[0] not in (6, 7)] + [(1 << 40, "far away text of one"), (-5000, "left half | right half, " * 3), (77, "日本語の文章をここに書く、ひらがなも漢字も。" * 3), (78, "naïve façade éàü ß œuvre " * 9)]
     d = cases.clash(cases.docs(spark, [(*r, "en", "a", 1) for r in rows]), "fp", "run", "known", "tie", "guest", "k", "r", "at")
     assert found(d) == brute(rows)
     assert syncmers.prints(cases.docs(spark, [])).count() == 0
@@ -75,3 +75,19 @@ def test_likeness_tells_edits_from_strangers(spark, sf):
 def test_python_stays_out(spark, sf):
     plan = syncmers.op3_syncmer_prints(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def made(seed, n):
+    rnd = random.Random(seed)
+    return " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(n))
+
+
+def test_a_passage_in_long_texts_and_small_edits_show(spark):
+    long, other, passage = made(1, 3000), made(2, 3000), made(3, 60)
+    words = long.split()
+    rows = [(1, long), (2, long + " " + passage), (3, other + " " + passage), (4, " ".join([*words[:1500], "qqqq", *words[1501:]])), (5, "new words first " + long)]
+    got = {r.doc_id: r for r in syncmers.prints(cases.docs(spark, [(*r, "en", "a", 1) for r in rows])).collect()}
+    assert got[1].n_anchors > 500 and 0.97 < got[1].near_next < 1.0
+    assert 0.4 * 60 / 3060 < got[2].near_next < 0.1  # the passage alone
+    assert 0.99 < got[4].near_next < 1.0 and got[4].fingerprint != got[1].fingerprint  # shifted by three words
+    assert got[3].near_next == 0.0
