@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, col, table
 
 WEIGHTS = (5, 2, 1)
 #: Slope of each source's weight over training time, by the place of the source; the weight's integral stays its target.
@@ -58,8 +58,16 @@ def plan(docs: DataFrame, *carry: str, weights: Sequence[int] = WEIGHTS, ramps:
     each. Null text: size 0; null source: a source of its own, last; null id: as the
     empty id. Repeated rows count each; an empty table gives an empty one.
     """
+    return _planned(docs, *carry, weights=weights, ramps=ramps, cap=cap, digits=digits).select("own.*", *PLAN)
+
+
+PLAN = ("_size", "_source_size", "_target", "_taken", "_ramp", "_at")
+
+
+def _planned(docs: DataFrame, *carry: str, weights: Sequence[int] = WEIGHTS, ramps: Sequence[float] = RAMPS, cap: int = CAP, digits: int = DIGITS) -> DataFrame:
+    """As plan(), with the columns to carry in a struct, so that their names meet no others."""
     d = docs.select(
-        *[F.col(c).alias(f"c_{c}") for c in carry],
+        F.struct(*map(col, carry)).alias("own"),
         F.col("source").alias("_source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_key"),
@@ -78,7 +86,7 @@ def plan(docs: DataFrame, *carry: str, weights: Sequence[int] = WEIGHTS, ramps:
     taken = give(0)
     for j in range(1, cap):
         taken = taken + give(j)
-    return d.select(*[F.col(f"c_{c}").alias(c) for c in carry], "_size", s.alias("_source_size"), F.col("htarget").alias("_target"), taken.cast("long").alias("_taken"), F.col("hramp").alias("_ramp"), at.alias("_at"))
+    return d.select("own", "_size", s.alias("_source_size"), F.col("htarget").alias("_target"), taken.cast("long").alias("_taken"), F.col("hramp").alias("_ramp"), at.alias("_at"))
 
 
 def position(reading: Column | int = 0) -> Column:
@@ -88,6 +96,7 @@ def position(reading: Column | int = 0) -> Column:
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in the order in which the mix reads it; nulls, repeats and empty tables as in plan()."""
     return (
         plan(table(spark, sf_dir, "documents"), "doc_id")
         .select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), (F.round(position(), 9) + 0.0).alias("position"))
@@ -96,11 +105,16 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: a document is there once for each time the mix reads it, whole also where the last reading is cut."""
+    """The mix itself: a row is there once for each time the mix reads it, whole also where the last reading is cut.
+
+    Null and empty texts have size 0 and are read once; a null source is one of its
+    own; null ids and repeated rows count like others. An empty table gives an empty
+    one; further columns stay.
+    """
     times = F.when(F.col("_size") == 0, (F.col("_target") > 0).cast("int")).otherwise(F.ceil(F.col("_taken") / F.col("_size"))).cast("int")
-    own = docs.columns
-    d = plan(docs, *own).where(times > 0).withColumn("_reading", F.explode(F.sequence(F.lit(0), times - 1)))
-    return d.withColumn("_position", position(F.col("_reading"))).repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*own)
+    d = _planned(docs, *docs.columns).where(times > 0).withColumn("_reading", F.explode(F.sequence(F.lit(0), times - 1)))
+    d = d.withColumn("_position", position(F.col("_reading")))
+    return d.repartitionByRange("_position", "own.doc_id").sortWithinPartitions("_position", "own.doc_id").select("own.*")
 
 
 OP10_SQL = r"""

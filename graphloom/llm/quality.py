@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc_mod, table
+from .common import col, crc_mod, free, table
 
 #: Cells that words are hashed to; further features follow them.
 CELLS = 1 << 15
@@ -145,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: int = LEARN, cells: int = C
     count = {r["y"]: r["count"] for r in of.groupBy("y").count().collect()}
     size = cells + N_STATS * 11
     share = count.get(1, 0) / max(1, sum(count.values())) if count else 0.5
-    known = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.col("n_chars").cast("long"))
+    n = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    known = docs.select(F.col("doc_id").cast("long"), F.col("text"), n.alias("n_chars"))
     picked = None
     if len(count) == 2:
         ids = known.select("doc_id").join(of, "doc_id").distinct()
@@ -166,25 +167,31 @@ def train(docs: DataFrame, labels: DataFrame, learn: int = LEARN, cells: int = C
     return m
 
 
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with _score in front; a row for each row. Null and empty texts have a score by their statistics."""
+def scored(docs: DataFrame, machine: Machine, name: str = "_score") -> DataFrame:
+    """docs with the score in front, under a name that the table lacks; a row for each row.
+
+    Null and empty texts have a score by their statistics; without n_chars, or where
+    it is null, the text's own length counts.
+    """
     held = docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Machine(*held.value)
         for b in batches:
             score = []
-            texts, sizes = b.column("text"), b.column("_n")
+            texts, sizes = b.column("text"), b.column(b.num_columns - 1)
             for at in range(0, b.num_rows, 256):
                 rows = [features(texts[i].as_py(), sizes[i].as_py()) for i in range(at, min(at + 256, b.num_rows))]
                 score.append(m.score([p for p, _ in rows], [v for _, v in rows]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(score) if score else [], pa.float64()), *b.columns], names=["_score", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(score) if score else [], pa.float64()), *b.columns], names=[name, *b.schema.names])
 
-    d = docs.withColumn("_n", F.col("n_chars").cast("long"))
-    return d.mapInArrow(run, StructType([StructField("_score", DoubleType()), *d.schema.fields]))
+    n = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    d = docs.withColumn(free(docs, "_n")[0], n)
+    return d.mapInArrow(run, StructType([StructField(name, DoubleType()), *d.schema.fields])).drop(d.columns[-1])
 
 
 def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document scored by what the rows that are not held out teach; nulls and empty tables as in scored() and train()."""
     docs = table(spark, sf_dir, "documents")
     machine = train(docs, table(spark, sf_dir, "labels"))
     out = scored(docs.select("doc_id", "text", "n_chars"), machine)
@@ -192,6 +199,13 @@ def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Rows that the classifier rejects go.
+
+    Each row is judged by its own text and length: null and empty texts by their
+    statistics, repeated rows alike, null ids like others. Without labels of both
+    classes all rows are judged alike. An empty table gives an empty one; further
+    columns stay.
+    """
     machine = train(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, machine).where(F.col("_score") >= CUT).select(*docs.columns)
+    (name,) = free(docs, "_score")
+    return scored(docs, machine, name).where(F.col(name) >= CUT).select(*map(col, docs.columns))

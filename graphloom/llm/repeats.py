@@ -307,4 +307,5 @@ def remove_repeats(docs: DataFrame, work: str) -> DataFrame:
 
 
 def op1_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document; nulls, repeats and empty tables as in remove_repeats()."""
     return remove_repeats(table(spark, sf_dir, "documents"), own_dir(spark, "repeats"))

@@ -206,6 +206,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document; nulls, repeats and empty tables as in scan()."""
     return scan(table(spark, sf_dir, "documents"))
 
 
@@ -224,17 +225,21 @@ def masked(text: str, first: list[int], mask: str = "[SECRET]") -> str:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are masked and n_chars follows."""
-    first = _control(cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, _SCAN).select("runs")))
+    """Every row stays; its secrets are masked and n_chars, where the table has it, follows.
+
+    Null and empty texts stay as they are, as do null ids, repeated rows and further
+    columns. An empty table gives an empty one.
+    """
+    first = _control(cut(docs.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(_scan, _SCAN).select("runs")))
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i = b.schema.get_field_index("text")
-            texts = [x if x is None else masked(x, first) for x in map(lambda x: x.as_py(), b.column(i))]
-            yield b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
-
-    own = docs.columns
-    out = docs.withColumn("_old", F.length("text")).mapInArrow(mask, docs.withColumn("_old", F.length("text")).schema)
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.when(F.length("text") != F.col("_old"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*own)
+            i, n = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
+            old = b.column(i).to_pylist()
+            new = [x if x is None else masked(x, first) for x in old]
+            if n >= 0:
+                sizes = [c if x == y else len(y) for c, x, y in zip(b.column(n).to_pylist(), old, new, strict=True)]
+                b = b.set_column(n, b.schema.field(n), pa.array(sizes, pa.int64()).cast(b.schema.field(n).type))
+            yield b.set_column(i, b.schema.field(i), pa.array(new, b.schema.field(i).type))
+
+    return docs.mapInArrow(mask, docs.schema)

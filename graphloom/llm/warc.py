@@ -7,6 +7,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -21,7 +22,6 @@ from .common import cut, own_dir, parts, table
 LEAST = 100
 #: Bytes of archive after which a task begins another file.
 ROLL = 256 << 20
-DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -30,23 +30,23 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id}/{digest}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One record as a gzip member: a response with its payload, or a revisit of the response of page first."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest) if not revisit else f'<urn:uuid:{uuid.uuid4()}>'}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest) if not revisit else f'<urn:uuid:{uuid.uuid4()}>'}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {re.sub(r'[^\x21-\x7e]', lambda m: ''.join(f'%{b:02X}' for b in m[0].encode('utf-8', 'surrogatepass')), url or 'urn:none')}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha256:{digest}",
     ]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, digest)}", f"WARC-Refers-To-Date: {DATE}"] + ([f"X-Refers-To-Page-ID: {first}"] if first is not None else [])
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first, digest)}", f"WARC-Refers-To-Date: {date}"] + ([f"X-Refers-To-Page-ID: {first}"] if first is not None else [])
     head.append(f"Content-Length: {len(block)}")
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
 
 
-def _writer(to: str, roll: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _writer(to: str, roll: int, date: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(to)
         task = TaskContext.get()
@@ -69,7 +69,7 @@ def _writer(to: str, roll: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 if out is None:
                     at = f"{root}/_part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(files)}"
                     out = system.open_output_stream(at)
-                out.write(record(page, url, payload, digest, first, revisit))
+                out.write(record(page, url, payload, digest, first, revisit, date))
                 if out.tell() >= roll:
                     close()
                     out = None
@@ -95,7 +95,8 @@ def write(pages: DataFrame, to: str, roll: int = ROLL) -> DataFrame:
     d = d.join(known, (d["key"] == known["_k"]) & (d["digest"] == known["_d"]), "left").select("page_id", "url", "payload", "digest", "first", F.coalesce("tied", F.lit(False)).alias("tied"))
     system, root = fs.FileSystem.from_uri(to)
     system.create_dir(root, recursive=True)
-    return cut(d.mapInArrow(_writer(to, roll), "file string"))
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")  # one for all tasks and attempts, as revisits name their response's
+    return cut(d.mapInArrow(_writer(to, roll, date), "file string"))
 
 
 def records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -168,6 +169,7 @@ def archive(pages: DataFrame, to: str) -> DataFrame:
 
 
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived and read back; nulls, repeats and empty tables as in archive()."""
     return archive(table(spark, sf_dir, "pages"), own_dir(spark, "warc"))
 
 
