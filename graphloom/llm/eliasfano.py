@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Mapping
 
 import numpy as np
 
@@ -10,15 +10,30 @@ import numpy as np
 SPAN = 2
 
 
+def _pack(values: np.ndarray, bits: int) -> np.ndarray:
+    """The lowest bits of each value, one value after another, in 64-bit words; a spare word at the end."""
+    n = len(values)
+    out = np.zeros((n * bits + 63) // 64 + 1, np.uint64)
+    if not bits or not n:
+        return out
+    at = np.arange(n, dtype=np.int64) * bits
+    word, off = at >> 6, (at & 63).astype(np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    out[word[first]] = np.bitwise_or.reduceat(values << off, first)
+    over = np.flatnonzero(off.astype(np.int64) + bits > 64)  # one value a word goes on in the next
+    out[word[over] + 1] |= values[over] >> (np.uint64(64) - off[over])
+    return out
+
+
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
-    """The parts of an ascending sequence below the universe: low bits (whole bytes), upper bits, directory of zeros.
+    """The parts of an ascending sequence below the universe: low bits, upper bits, directory of zeros.
 
-    Upper bits hold, for each upper part in turn, a one a value and then a zero.
+    As many low bits as log2(universe / n), packed; upper bits hold, for each upper
+    part in turn, a one a value and then a zero: two bits a value at most.
     """
     n = len(values)
     v = values.astype(np.uint64)
-    # whole bytes of low bits, such that low and upper bits are fewest
-    bits = min((0, 8, 16, 32), key=lambda b: n * b + n + (universe >> b) + 1)
+    bits = max(0, (universe // max(n, 1)).bit_length() - 1)
     high = (v >> np.uint64(bits)).astype(np.int64)
     size = n + (universe >> bits) + 1
     words = -(-size // 64)
@@ -28,17 +43,24 @@ def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
     upper = np.packbits(mask, bitorder="little").view("<u8")
     ones = np.bitwise_count(upper).reshape(-1, SPAN).sum(axis=1, dtype=np.int64)
     zeros = np.concatenate([[0], np.cumsum(64 * SPAN - ones)[:-1]]).astype(np.int64)
-    low = (v & np.uint64((1 << bits) - 1)).astype({0: np.uint8, 8: np.uint8, 16: np.uint16, 32: np.uint32}[bits]) if bits else np.empty(0, np.uint8)
-    return {"low": low, "upper": upper, "zeros": zeros, "head": np.array([n, bits], np.int64)}
+    return {"low": _pack(v & np.uint64((1 << bits) - 1), bits), "upper": upper, "zeros": zeros, "head": np.array([n, bits], np.int64)}
 
 
 class EliasFano:
     """A sequence whose parts are got by name, as from mapped files."""
 
-    def __init__(self, part: Callable[[str, str], np.ndarray]) -> None:
-        self.n, self.bits = map(int, part("head", "<i8"))
-        self.low = part("low", {0: "u1", 8: "u1", 16: "<u2", 32: "<u4"}[self.bits])
-        self.upper, self.zeros = part("upper", "<u8"), part("zeros", "<i8")
+    def __init__(self, part: Mapping[str, np.ndarray]) -> None:
+        self.n, self.bits = map(int, part["head"])
+        self.low, self.upper, self.zeros = part["low"], part["upper"], part["zeros"]
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros(len(i), np.int64)
+        at = i * self.bits
+        word, off = at >> 6, (at & 63).astype(np.uint64)
+        # a shift by 64 is a shift by 63 and by 1
+        v = (self.low[word] >> off) | ((self.low[word + 1] << (np.uint64(63) - off)) << np.uint64(1))
+        return (v & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Position of the k-th (from 0) one or zero among the upper bits."""
@@ -69,8 +91,7 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = i.astype(np.int64)
-        high = self._select(i, True) - i
-        return (high << self.bits) | (self.low[i].astype(np.int64) if self.bits else 0)
+        return ((self._select(i, True) - i) << self.bits) | self._low(i)
 
     def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Where in [begin, end) each value is, or -1: among those of the same upper part, the successor by low bits."""
@@ -83,15 +104,44 @@ class EliasFano:
         one = (self.upper[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         live = np.flatnonzero(one)  # the others' upper part has no values
         last = np.minimum(self._select(high[live], False) - high[live], end[live])
-        lo, hi = at[live], last
+        lo, hi = at[live], last.copy()
         want = low[live]
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = (self.low[np.minimum(mid, self.n - 1)] < want) & open_ if self.bits else np.zeros(len(lo), bool)
-            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-        here = np.minimum(lo, self.n - 1)
+        while len(open_ := np.flatnonzero(lo < hi)):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self._low(np.minimum(mid, self.n - 1)) < want[open_]
+            lo[open_], hi[open_] = np.where(less, mid + 1, lo[open_]), np.where(less, hi[open_], mid)
         hit = (lo >= begin[live]) & (lo < last)
-        if self.bits:
-            hit &= self.low[here] == want
+        hit &= self._low(np.minimum(lo, self.n - 1)) == want
         out[live[hit]] = lo[hit]
         return out
+
+
+def grouped(values: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """Values that ascend within each group [starts[g], starts[g + 1]), as one ascending sequence: each group goes on after the last of the one before."""
+    size = np.diff(starts)
+    some = np.flatnonzero(size)
+    tops = values[starts[some + 1] - 1].astype(np.int64) + 1
+    base = np.repeat(np.cumsum(tops) - tops, size[some])
+    return encode(values + base, int(tops.sum()) + 1)
+
+
+class Grouped(EliasFano):
+    """The sequence of grouped(); a value of a group is found relative to where the group before ends."""
+
+    def at(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each value in its group [begin, end), or -1."""
+        out = np.full(len(value), -1, np.int64)
+        live = np.flatnonzero((value >= 0) & (begin < end))
+        if not len(live):
+            return out
+        b, e = begin[live], end[live]
+        own, back = np.unique(b, return_inverse=True)
+        base = np.zeros(len(own), np.int64)
+        later = own > 0
+        base[later] = self.get(own[later] - 1) + 1
+        base = base[back]
+        own, back = np.unique(e, return_inverse=True)
+        fits = value[live] + base <= self.get(own - 1)[back]
+        live, b, e, base = live[fits], b[fits], e[fits], base[fits]
+        out[live] = self.find(value[live] + base, b, e)
+        return out

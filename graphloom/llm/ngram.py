@@ -1,8 +1,9 @@
-"""Language-model scores from a bigram trie of Elias-Fano levels in the shared folder."""
+"""Language-model scores from a trigram trie of Elias-Fano levels in the shared folder."""
 
 from __future__ import annotations
 
-from collections import Counter
+import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,14 +15,12 @@ from pyspark.sql import functions as F
 
 from . import lookup
 from .common import crc_mod, cut, own_dir, parts, table
-from .eliasfano import EliasFano, encode
-
-#: Distinct words, and tokens, that a task counts before it hands on.
-WORDS, TOKENS = 300_000, 4_000_000
-#: Tokens of the corpus for each range of contexts, the piece of the trie that one task builds.
-RANGE = 4_000_000
-#: Characters of text that a worker scores at a time.
-BLOCK = 3_000_000
+from .eliasfano import EliasFano, Grouped, encode, grouped
+
+#: Distinct words, and tokens, of a chunk of texts; and tokens whose n-grams a task counts before it hands on.
+WORDS, CHUNK, TOKENS = 300_000, 1_000_000, 2_500_000
+#: Tokens of the corpus for each range of middle words, the piece of the trie that one task builds.
+RANGE = 2_000_000
 #: Log10 probabilities are kept in steps of 1 / STEP, down to -65535 / STEP.
 STEP = 4096
 
@@ -31,137 +30,223 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+class _Index(dict):
+    """Numbers words as they are met."""
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = len(self)
+        return n
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as bytes, those of one place together, packed; after their number."""
+    x = np.asarray(x).astype("<u4")
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unplanes(b: pa.Buffer) -> np.ndarray:
+    n = int.from_bytes(b.slice(0, 8).to_pybytes(), "little")
+    flat = np.frombuffer(pa.decompress(b.slice(8), decompressed_size=4 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
+
+
+_CHUNK = "ids array<long>, learn binary, words array<string>, counts array<long>, seq_n binary, seq binary"
+
+
+def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    index, seq, sizes, ids, learn = _Index(), array("I"), [], [], []
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k.decode() for k in held], pa.string()), pa.array(held.values(), pa.int64())], names=["key", "n"])
+        s = np.frombuffer(seq, np.uint32)
+        counts = np.bincount(s[np.repeat(np.array(learn, bool), sizes)], minlength=len(index)).astype(np.int64)
+        words = pa.array([*index], pa.binary()).cast(pa.string())
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        of = lambda x: pa.array([_planes(x)], pa.binary())
+        return pa.RecordBatch.from_arrays([one(pa.array(ids, pa.int64())), pa.array([np.array(learn, bool).tobytes()], pa.binary()), one(words), one(pa.array(counts)), of(sizes), of(s)], names=["ids", "learn", "words", "counts", "seq_n", "seq"])
 
     for b in batches:
-        for x in b.column(0):
-            held.update(tokens(x.as_py()))
-            if len(held) > WORDS:
+        for i, x, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            w = tokens(x.as_py())
+            seq.extend(map(index.__getitem__, w))
+            sizes.append(len(w))
+            ids.append(i)
+            learn.append(y)
+            if len(index) >= WORDS or len(seq) >= CHUNK:
                 yield out()
-                held = Counter()
-    yield out()
+                index, seq, sizes, ids, learn = _Index(), array("I"), [], [], []
+    if ids:
+        yield out()
+
+
+def chunked(docs: DataFrame, to: str) -> DataFrame:
+    """docs (doc_id, text, learn) to chunks of rows, written to the folder: ids, distinct words with their counts in the rows to learn from, texts as words. Texts are cut once."""
+    d = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce("learn", F.lit(False)).alias("learn"))
+    # a row is some MB, so row groups are checked for their size at each
+    d.mapInArrow(_cutter, _CHUNK).write.options(**{"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}).parquet(f"{to}/chunks")
+    return docs.sparkSession.read.parquet(f"{to}/chunks")
 
 
-def ids_of(texts: list[str | None], to: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words of the texts one after another (-1: unknown), and the number of words of each text."""
-    local: dict[bytes, int] = {}
-    flat, sizes = [], np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        w = tokens(t)
-        sizes[i] = len(w)
-        flat += [local.setdefault(x, len(local)) for x in w]
-    known = lookup.places(to, [*local])
-    return (known[np.array(flat, np.int64)] if flat else np.empty(0, np.int64)), sizes
+def _ids(b: pa.RecordBatch, i: int, to: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words of a chunk's texts (-1: unknown) and the number of words of each text."""
+    known = lookup.places(to, [x.encode() for x in b.column("words")[i].values.to_pylist()])
+    seq = _unplanes(b.column("seq")[i].as_buffer())
+    return (known[seq] if len(seq) else np.empty(0, np.int64)), _unplanes(b.column("seq_n")[i].as_buffer())
 
 
-def steps_of(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, token) of each text's words and its end; the first word's context and the end token are `end`."""
+def steps_of(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word before the last, last word, token) of each text's words and its end; before the first word, and as the end token, stands `end`."""
     n = len(ids) + len(sizes)
     last = np.cumsum(sizes + 1) - 1
     token = np.full(n, end, np.int64)
     inner = np.ones(n, bool)
     inner[last] = False
     token[inner] = ids
-    context = np.empty(n, np.int64)
-    context[1:] = token[:-1]
-    context[np.concatenate([[0], last[:-1] + 1])] = end
-    return context, token
+    first = last - sizes
+    one = np.concatenate([[end], token[:-1]])[:n]
+    one[first] = end
+    two = np.concatenate([[end], one[:-1]])[:n]
+    two[first] = end
+    return two, one, token
+
+
+def _ordered(one: np.ndarray, token: np.ndarray, two: np.ndarray, most: tuple[int, int]) -> np.ndarray:
+    """The order by (one, token, two); most: bounds of `one`, and of the others."""
+    if most[0] * most[1] * most[1] < 1 << 63:
+        return np.argsort((one * most[1] + token) * most[1] + two)
+    return np.lexsort((two, token, one))
+
+
+def _summed(one: np.ndarray, token: np.ndarray, two: np.ndarray, n: np.ndarray | None, most: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """Distinct (one, token, two) in order, with their counts added up."""
+    order = _ordered(one, token, two, most)
+    a, b, c = one[order], token[order], two[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
+    return a[first], b[first], c[first], np.add.reduceat(n[order], first) if n is not None else np.diff(np.append(first, len(a)))
 
 
-def _pair_counter(to: str, width: int, ranges: int):
-    size = lambda: int(lookup.starts(to)[-1]) + 1
+_BLOCK = "r int, one binary, token binary, two binary, n binary"
 
+
+def _counter(to: str, width: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide, held, n = size(), [], 0
+        wide, held, n = int(lookup.starts(to)[-1]) + 1, [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            bounds = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.int64) * width * wide)
-            at = [r for r in range(ranges) if bounds[r] < bounds[r + 1]]
-            for r in at:
-                s = slice(bounds[r], bounds[r + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([keys[s].astype("<i8").tobytes()]), pa.array([counts[s].astype("<i8").tobytes()])], names=["r", "keys", "counts"])
-
-        def block(texts: list[str | None]) -> None:
-            nonlocal n
-            ids, sizes = ids_of(texts, to)
-            context, token = steps_of(ids, sizes, wide - 1)
-            held.append(context * wide + token)
-            n += len(token)
+            two, one, token = (np.concatenate([h[k] for h in held]) for k in range(3))
+            of = one // width
+            order = np.argsort(of.astype(np.uint16) if ranges < 1 << 16 else of, kind="stable")
+            bounds = np.searchsorted(of[order], np.arange(ranges + 1))
+            for r in np.flatnonzero(np.diff(bounds)).tolist():
+                s = order[bounds[r] : bounds[r + 1]]
+                got = _summed(one[s] - r * width, token[s], two[s], None, (width, wide))
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([_planes(x)], pa.binary()) for x in got)], names=["r", "one", "token", "two", "n"])
 
         for b in batches:
-            texts, chars = [], 0
-            for x in b.column(0):
-                texts.append(x.as_py())
-                chars += len(texts[-1] or "")
-                if chars > BLOCK:
-                    block(texts)
-                    texts, chars = [], 0
-                    if n > TOKENS:
-                        yield from out()
-                        held, n = [], 0
-            if texts:
-                block(texts)
-            if n > TOKENS:
-                yield from out()
-                held, n = [], 0
+            for i in range(b.num_rows):
+                ids, sizes = _ids(b, i, to)
+                learn = np.frombuffer(b.column("learn")[i].as_buffer(), bool)
+                held.append(steps_of(ids[np.repeat(learn, sizes)], sizes[learn], wide - 1))
+                n += len(held[-1][0])
+                if n > TOKENS:
+                    yield from out()
+                    held, n = [], 0
         if n:
             yield from out()
 
     return run
 
 
-def _quantised(log10: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(-log10 * STEP), 65535).astype("<u2")
+def _quantised(p: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(-np.log10(p) * STEP), 65535).astype("<u2")
+
+
+def _store(to: str, r: int, arrays: dict[str, np.ndarray]) -> None:
+    """All arrays of a range in one file, after a head that says where each is."""
+    head, flat, at = {}, [], 0
+    for k, x in arrays.items():
+        b = np.ascontiguousarray(x).tobytes()
+        head[k] = [x.dtype.str, at, len(x)]
+        flat += [b, b"\0" * (-len(b) % 8)]
+        at += len(b) + -len(b) % 8
+    first = json.dumps(head).encode()
+    first += b" " * (-len(first) % 8)
+    system, root = fs.FileSystem.from_uri(to)
+    lookup.save(system, f"{root}/{r:07d}.trie", np.frombuffer(b"".join([len(first).to_bytes(8, "little"), first, *flat]), np.uint8))
 
 
 def _trie_builder(to: str, width: int):
-    """A range of contexts: pointers to each one's successors, the successors, their probabilities, the contexts' back-off."""
+    """A range of words w: words after w, words before w, and for each word after w the words before w, each by its place among those."""
 
-    def build(r: int, keys: np.ndarray, counts: np.ndarray) -> int:
-        system, root = fs.FileSystem.from_uri(to)
+    def build(r: int, blocks: list[tuple[np.ndarray, ...]]) -> int:
         wide = int(lookup.starts(to)[-1]) + 1
-        keys, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, counts).astype(np.int64)
-        context, token = keys // wide - r * width, keys % wide
         here = min(width, wide - r * width)
-        kinds = np.bincount(context, minlength=here)
-        total = np.bincount(context, n, minlength=here)
+        one, token, two, n = _summed(*(np.concatenate([b[k] for b in blocks]) for k in range(4)), (width, wide))
+        first = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (token[1:] != token[:-1])]))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(one))))  # the bigram of each trigram
+        after_one, after = one[first], token[first]
+        c = np.add.reduceat(n, first)
         # Witten-Bell: each kind of successor gives one count to the shorter history
-        single = (lookup.numbers(to, np.minimum(token, wide - 2)) if wide > 1 else np.zeros(len(token))).astype(np.float64)
+        single = np.zeros(len(after))
+        word = after < wide - 1
+        own, back = np.unique(after[word], return_inverse=True)
+        single[word] = lookup.numbers(to, own)[back]
         all_, distinct, ends = map(int, lookup.load(to, "meta", "<i8"))
-        single[token == wide - 1] = ends
-        low = (single + 1) / (all_ + distinct + 1)
-        back = kinds / np.maximum(total + kinds, 1)
-        p = n / (total + kinds)[context] + back[context] * low
-        parts_ = {f"s.{k}": v for k, v in encode(context * wide + token, here * wide).items()}
-        parts_ |= {f"p.{k}": v for k, v in encode(np.concatenate([[0], np.cumsum(kinds)]), len(keys) + 1).items()}
-        parts_ |= {"prob": _quantised(np.log10(p)), "back": _quantised(np.log10(np.where(kinds > 0, back, 1.0)))}
-        for k, v in parts_.items():
-            lookup.save(system, f"{root}/{r:05d}.{k}", v)
-        return len(keys)
+        single[~word] = ends
+        kinds, total = np.bincount(after_one, minlength=here), np.bincount(after_one, c, minlength=here)
+        back1 = kinds / np.maximum(total + kinds, 1)
+        p2 = c / (total + kinds)[after_one] + back1[after_one] * (single + 1) / (all_ + distinct + 1)
+        before, at = np.unique(one * wide + two, return_inverse=True)
+        before_one, before = before // wide, before % wide
+        kinds2, total2 = np.bincount(at), np.bincount(at, n)
+        back2 = kinds2 / (total2 + kinds2)
+        p3 = n / (total2 + kinds2)[at] + back2[at] * p2[of]
+        starts = lambda x, most: np.concatenate([[0], np.cumsum(np.bincount(x, minlength=most))])
+        to_before = starts(before_one, here)
+        place = at - to_before[one]
+        arrays: dict[str, np.ndarray] = {"back1": _quantised(np.where(kinds > 0, back1, 1.0)), "back2": _quantised(back2), "prob2": _quantised(p2), "prob3": _quantised(p3)}
+        for name, values, pointers in (("after", after, starts(after_one, here)), ("before", before, to_before), ("third", place, starts(of, len(first)))):
+            arrays |= {f"{name}.{k}": v for k, v in grouped(values, pointers).items()} | {f"to_{name}.{k}": v for k, v in encode(pointers, len(values) + 1).items()}
+        _store(to, r, arrays)
+        return len(one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, keys, counts, n = None, [], [], 0
+        r, blocks, n = None, [], 0
         for b in batches:
-            for x, k, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for i in range(b.num_rows):
+                x = b.column(0)[i].as_py()
                 if r is not None and x != r:
-                    n += build(r, np.concatenate(keys), np.concatenate(counts))
-                    keys, counts = [], []
+                    n += build(r, blocks)
+                    blocks = []
                 r = x
-                keys.append(np.frombuffer(k.as_buffer(), "<i8").copy())
-                counts.append(np.frombuffer(c.as_buffer(), "<i8").copy())
+                blocks.append(tuple(_unplanes(b.column(k)[i].as_buffer()) for k in range(1, 5)))
         if r is not None:
-            n += build(r, np.concatenate(keys), np.concatenate(counts))
+            n += build(r, blocks)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return run
 
 
+class _Level:
+    """A range of the trie, mapped."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = int(data[:8].view("<i8")[0])
+        body = data[8 + n :]
+        parts_: dict[str, dict[str, np.ndarray]] = {}
+        for k, (kind, at, size) in json.loads(bytes(data[8 : 8 + n])).items():
+            name, _, part = k.partition(".")
+            parts_.setdefault(name, {})[part] = body[at : at + size * np.dtype(kind).itemsize].view(kind)
+        self.back1, self.back2, self.prob2, self.prob3 = (parts_[k][""] for k in ("back1", "back2", "prob2", "prob3"))
+        self.after, self.before, self.third = (Grouped(parts_[k]) for k in ("after", "before", "third"))
+        self.to_after, self.to_before, self.to_third = (EliasFano(parts_[f"to_{k}"]) for k in ("after", "before", "third"))
+
+
+@lru_cache(maxsize=4096)
+def _level(to: str, r: int) -> _Level | None:
+    data = lookup.load(to, f"{r:07d}.trie", "u1")
+    return _Level(data) if len(data) else None
+
+
 class Model:
     """Where the trie is, and its sizes; goes to workers as it is."""
 
@@ -177,58 +262,64 @@ class Model:
         out[known] = lookup.numbers(self.to, own)[back]
         return out
 
-    def log10(self, context: np.ndarray, token: np.ndarray, wide: int, low: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after its context; low: that of the token alone."""
+    def log10(self, two: np.ndarray, one: np.ndarray, token: np.ndarray, wide: int, low: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability after its last two words; low: that of the token alone.
+
+        All is in the range of the last word: the token among the words after it, the
+        word before among the words before it, whose place there is then looked for
+        among those of this pair.
+        """
         out = low.copy()
-        if not self.all:
-            return out
-        rows = np.flatnonzero(context >= 0)
-        key = context[rows] * (wide + 1) + token[rows] + 1
-        own, back = np.unique(key, return_inverse=True)
-        c, t = own // (wide + 1), own % (wide + 1) - 1
-        found, q = np.zeros(len(own), bool), np.zeros(len(own))
-        of = c // self.width
+        rows = np.flatnonzero(one >= 0) if self.all else np.empty(0, int)
+        rows = rows[np.argsort(one[rows] // self.width, kind="stable")]
+        of = one[rows] // self.width
         cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
         for x, y in zip(cuts, cuts[1:], strict=False):
-            if x == y:
+            if x == y or (level := _level(self.to, int(of[x]))) is None:
                 continue
-            r = int(of[x])
-            level = _level(self.to, r)
-            if level is None:
-                continue
-            pointers, successors, prob, lam = level
-            own_c = c[x:y] - r * self.width
-            each = np.flatnonzero(np.concatenate([[True], own_c[1:] != own_c[:-1]]))
-            times = np.diff(np.concatenate([each, [len(own_c)]]))
-            begin, end = (np.repeat(pointers.get(own_c[each] + k), times) for k in (0, 1))
-            at = successors.find(own_c * wide + np.maximum(t[x:y], 0), begin, end)
-            hit = (at >= 0) & (t[x:y] >= 0)
-            found[x:y] = hit
-            q[x:y] = np.where(hit, prob[np.maximum(at, 0)], lam[own_c]) / -float(STEP)
-        out[rows] = np.where(found[back], q[back], q[back] + low[rows])
+            s = rows[x:y]
+            w, t, u = one[s] - int(of[x]) * self.width, token[s], two[s]
+            own, back = np.unique(w, return_inverse=True)
+            range_ = lambda p, i: (p.get(i), p.get(i + 1))
+            after, before = range_(level.to_after, own), range_(level.to_before, own)
+
+            def placed(level_: Grouped, bounds: tuple[np.ndarray, np.ndarray], v: np.ndarray, own=own, back=back) -> tuple[np.ndarray, np.ndarray]:
+                """(distinct places in the level, which of them each row has), of pairs (w, v)."""
+                key, inverse = np.unique(back * (wide + 1) + v + 1, return_inverse=True)
+                which, v = key // (wide + 1), key % (wide + 1) - 1
+                return level_.at(v, bounds[0][which], bounds[1][which]), inverse
+
+            i, i_of = placed(level.after, after, t)
+            j, j_of = placed(level.before, before, u)
+            some = i >= 0
+            third = [np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)]
+            for k, b in enumerate(range_(level.to_third, i[some])):
+                third[k][some] = b
+            q2 = np.where(some, level.prob2[np.maximum(i, 0)], 0)[i_of] / -float(STEP)
+            back1 = level.back1[w] / -float(STEP)
+            j = j[j_of]
+            back2 = np.where(j >= 0, level.back2[np.maximum(j, 0)], 0) / -float(STEP)
+            place = np.where(j >= 0, j - before[0][back], -1)
+            k = level.third.at(place, third[0][i_of], third[1][i_of])
+            shorter = back2 + np.where(some[i_of], q2, back1 + low[s])
+            out[s] = np.where(k >= 0, level.prob3[np.maximum(k, 0)] / -float(STEP), shorter)
         return out
 
 
-@lru_cache(maxsize=65536)
-def _level(to: str, r: int):
-    back = lookup.load(to, f"{r:05d}.back", "<u2")
-    if not len(back):
-        return None
-    of = lambda s: EliasFano(lambda k, kind: lookup.load(to, f"{r:05d}.{s}.{k}", kind))
-    return of("p"), of("s"), lookup.load(to, f"{r:05d}.prob", "<u2"), back
-
+def train(chunks: DataFrame, to: str, per_range: int = RANGE) -> Model:
+    """Counts all words and trigrams of the chunks' rows to learn from and writes vocabulary and trie to the folder.
 
-def train(docs: DataFrame, to: str, per_range: int = RANGE) -> Model:
-    """Counts all words and neighbours of the rows and writes vocabulary and trie to the folder.
-
-    Counts are added up in tasks before they are shuffled: words by word, pairs as
-    sorted blocks by range of contexts, so that a frequent word is no one task's
-    load. Every count of the corpus is kept.
+    Counts are added up in tasks before they are shuffled: words by word, trigrams as
+    sorted blocks by range of middle words, so that a frequent word's occurrences are
+    no one task's load. Counts of pairs are sums of those of triples. Every count of
+    the corpus is kept.
     """
-    spark, text = docs.sparkSession, docs.select("text")
-    words = cut(text.mapInArrow(_count_words, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    spark = chunks.sparkSession
+    words = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("key"), F.col("w.counts").alias("n")).where("n > 0")
+    words = cut(words.groupBy("key").agg(F.sum("n").alias("n")))
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = text.count()
+    ones = F.length(F.regexp_replace(F.hex("learn"), "00", "")) / 2  # a byte a row, 1 for those to learn from
+    ends = int(chunks.agg(F.coalesce(F.sum(ones), F.lit(0))).first()[0])
     all_, distinct = int(sums[0]) + ends, int(sums[1]) + (ends > 0)
     value = F.unhex(F.regexp_replace(F.lpad(F.hex("n"), 16, "0"), "(..)(..)(..)(..)(..)(..)(..)(..)", "$8$7$6$5$4$3$2$1"))
     lookup.write(words.select("key", value.alias("value")), to, parts(spark))
@@ -239,45 +330,35 @@ def train(docs: DataFrame, to: str, per_range: int = RANGE) -> Model:
     ranges = max(1, min(wide, -(-all_ // per_range)))
     width = -(-wide // ranges)
     if all_:
-        pairs = text.mapInArrow(_pair_counter(to, width, ranges), "r int, keys binary, counts binary")
-        pairs.repartition(max(1, min(ranges, 10 * parts(spark))), "r").sortWithinPartitions("r").mapInArrow(_trie_builder(to, width), "n long").agg(F.sum("n")).collect()
+        blocks = chunks.select("learn", "words", "seq_n", "seq").mapInArrow(_counter(to, width, ranges), _BLOCK)
+        blocks.repartition(max(1, min(ranges, 10 * parts(spark))), "r").sortWithinPartitions("r").mapInArrow(_trie_builder(to, width), "n long").agg(F.sum("n")).collect()
     return Model(to, all_, distinct, ends, width)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text) to doc_id, n_tokens, n_known, base_score, score; a row for each row. A null text is empty: its end alone."""
+def score(chunks: DataFrame, model: Model) -> DataFrame:
+    """chunks to doc_id, n_tokens, n_known, base_score, score; a row for each row. A null text is empty: its end alone."""
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = int(lookup.starts(model.to)[-1]) + 1
-
-        def block(ids: list, texts: list[str | None]) -> pa.RecordBatch:
-            words, sizes = ids_of(texts, model.to)
-            context, token = steps_of(words, sizes, wide - 1)
-            c = model.counts(token, wide)
-            low = np.log10((c + 1) / (model.all + model.distinct + 1))
-            at = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-            full = model.log10(context, token, wide, low)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes + 1), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.add.reduceat(low, at)), pa.array(np.add.reduceat(full, at))], names=names)
-
         for b in batches:
-            ids, texts, chars = [], [], 0
-            for d, x in zip(b.column(0), b.column(1), strict=True):
-                ids.append(d.as_py())
-                texts.append(x.as_py())
-                chars += len(texts[-1] or "")
-                if chars > BLOCK:
-                    yield block(ids, texts)
-                    ids, texts, chars = [], [], 0
-            if ids:
-                yield block(ids, texts)
+            for i in range(b.num_rows):
+                words, sizes = _ids(b, i, model.to)
+                two, one, token = steps_of(words, sizes, wide - 1)
+                c = model.counts(token, wide)
+                low = np.log10((c + 1) / (model.all + model.distinct + 1))
+                at = np.cumsum(sizes + 1) - (sizes + 1)
+                full = model.log10(two, one, token, wide, low)
+                yield pa.RecordBatch.from_arrays([b.column("ids")[i].values, pa.array(sizes + 1), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.add.reduceat(low, at)), pa.array(np.add.reduceat(full, at))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return chunks.select("ids", "words", "seq_n", "seq").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def op8_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without id count as the empty id for the hold-out."""
+    """Every whole document scored by what the rows that are not held out teach; rows without id count as the empty id for the hold-out, null texts as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = crc_mod(F.col("doc_id"), 7) == 2
-    model = train(docs.where(~held), own_dir(spark, "ngram"))
-    return score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.all).cast("long").alias("train_tokens"), "base_score", "score")
+    to = own_dir(spark, "ngram")
+    chunks = chunked(docs.withColumn("learn", ~held), to)
+    model = train(chunks, to)
+    return score(chunks, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.all).cast("long").alias("train_tokens"), "base_score", "score")
