@@ -8,6 +8,9 @@ import numpy as np
 
 #: 64-bit words of the upper bits from one entry of the directory to the next.
 SPAN = 2
+_EACH, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Place of the k-th one of a byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for b in range(256) for k in range(8)], np.int64)
 
 
 def _pack(values: np.ndarray, bits: int) -> np.ndarray:
@@ -52,6 +55,7 @@ class EliasFano:
     def __init__(self, part: Mapping[str, np.ndarray]) -> None:
         self.n, self.bits = map(int, part["head"])
         self.low, self.upper, self.zeros = part["low"], part["upper"], part["zeros"]
+        self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 * SPAN - self.zeros
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -64,30 +68,26 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Position of the k-th (from 0) one or zero among the upper bits."""
-        before = np.arange(len(self.zeros), dtype=np.int64) * 64 * SPAN - self.zeros if one else self.zeros
+        before = self.ones if one else self.zeros
         block = np.searchsorted(before, k, "right") - 1
-        rest = k - before[block]
+        rest = (k - before[block]).astype(np.uint64)
         at = block * SPAN
-        word = np.zeros(len(k), np.uint64)
-        live = np.ones(len(k), bool)
-        for _ in range(SPAN):
-            w = self.upper[np.minimum(at, len(self.upper) - 1)]
-            w = w if one else ~w
-            c = np.bitwise_count(w).astype(np.int64)
-            here = live & (rest < c)
-            word = np.where(here, w, word)
-            live &= ~here
-            rest = np.where(live, rest - c, rest)
-            at = np.where(live, at + 1, at)
-        pos = np.zeros(len(k), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            part = word & np.uint64((1 << half) - 1)
-            c = np.bitwise_count(part).astype(np.int64)
-            up = rest >= c
-            rest = np.where(up, rest - c, rest)
-            word = np.where(up, word >> np.uint64(half), part)
-            pos += np.where(up, half, 0)
-        return at * 64 + pos
+        word = self.upper[at] if one else ~self.upper[at]
+        for step in range(1, SPAN):  # on to the word of the block that it is in
+            c = np.bitwise_count(word).astype(np.uint64)
+            on = rest >= c
+            if step > 1:
+                on &= at == block * SPAN + step - 1
+            at = at + on
+            w = self.upper[at]
+            word = np.where(on, w if one else ~w, word)
+            rest = rest - c * on
+        # sums of the bits of all bytes up to each, then the first byte where they exceed the rest
+        sums = np.bitwise_count(word.view(np.uint8)).view(np.uint64) * _EACH
+        shift = np.bitwise_count(((rest * _EACH) | _TOPS) - sums & _TOPS).astype(np.uint64) << np.uint64(3)
+        rest = rest - (((sums << np.uint64(8)) >> shift) & np.uint64(255))
+        byte = (word >> shift) & np.uint64(255)
+        return at * 64 + shift.astype(np.int64) + _IN_BYTE[(byte << np.uint64(3) | rest).astype(np.int64)]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         i = i.astype(np.int64)
@@ -96,12 +96,17 @@ class EliasFano:
     def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Where in [begin, end) each value is, or -1: among those of the same upper part, the successor by low bits."""
         value = value.astype(np.int64)
+        out = np.full(len(value), -1, np.int64)
+        there = value >> self.bits < len(self.upper) * 64 - self.n  # upper parts are as many as zeros
+        if not there.all():
+            live = np.flatnonzero(there)
+            out[live] = self.find(value[live], begin[live], end[live]) if len(live) else out[live]
+            return out
         high, low = value >> self.bits, value & ((1 << self.bits) - 1)
         before = np.maximum(high - 1, 0)
         bit = np.where(high > 0, self._select(before, False) + 1, 0)  # where the ones of this upper part begin
         at = bit - high
-        out = np.full(len(value), -1, np.int64)
-        one = (self.upper[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        one = (self.upper[np.minimum(bit >> 6, len(self.upper) - 1)] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         live = np.flatnonzero(one)  # the others' upper part has no values
         last = np.minimum(self._select(high[live], False) - high[live], end[live])
         lo, hi = at[live], last.copy()
@@ -128,20 +133,17 @@ def grouped(values: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
 class Grouped(EliasFano):
     """The sequence of grouped(); a value of a group is found relative to where the group before ends."""
 
-    def at(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The place of each value in its group [begin, end), or -1."""
+    def base(self, begin: np.ndarray) -> np.ndarray:
+        """What stands before the groups that begin there."""
+        later = begin > 0
+        out = np.zeros(len(begin), np.int64)
+        out[later] = self.get(begin[later] - 1) + 1
+        return out
+
+    def at(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """The place of each value in its group [begin, end), or -1; a value beyond the group's last is at none of its places."""
         out = np.full(len(value), -1, np.int64)
         live = np.flatnonzero((value >= 0) & (begin < end))
-        if not len(live):
-            return out
-        b, e = begin[live], end[live]
-        own, back = np.unique(b, return_inverse=True)
-        base = np.zeros(len(own), np.int64)
-        later = own > 0
-        base[later] = self.get(own[later] - 1) + 1
-        base = base[back]
-        own, back = np.unique(e, return_inverse=True)
-        fits = value[live] + base <= self.get(own - 1)[back]
-        live, b, e, base = live[fits], b[fits], e[fits], base[fits]
-        out[live] = self.find(value[live] + base, b, e)
+        if len(live):
+            out[live] = self.find(value[live] + base[live], begin[live], end[live])
         return out

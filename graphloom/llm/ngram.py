@@ -271,7 +271,7 @@ class Model:
         """
         out = low.copy()
         rows = np.flatnonzero(one >= 0) if self.all else np.empty(0, int)
-        rows = rows[np.argsort(one[rows] // self.width, kind="stable")]
+        rows = rows[np.argsort(one[rows] * (wide + 1) + token[rows])]  # searches go through the levels in order
         of = one[rows] // self.width
         cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
         for x, y in zip(cuts, cuts[1:], strict=False):
@@ -280,27 +280,26 @@ class Model:
             s = rows[x:y]
             w, t, u = one[s] - int(of[x]) * self.width, token[s], two[s]
             own, back = np.unique(w, return_inverse=True)
-            range_ = lambda p, i: (p.get(i), p.get(i + 1))
-            after, before = range_(level.to_after, own), range_(level.to_before, own)
+            group = lambda p, level_, i: (begin := p.get(i), p.get(i + 1), level_.base(begin))
+            after, before = group(level.to_after, level.after, own), group(level.to_before, level.before, own)
 
-            def placed(level_: Grouped, bounds: tuple[np.ndarray, np.ndarray], v: np.ndarray, own=own, back=back) -> tuple[np.ndarray, np.ndarray]:
+            def placed(level_: Grouped, groups: tuple[np.ndarray, ...], v: np.ndarray, back=back) -> tuple[np.ndarray, np.ndarray]:
                 """(distinct places in the level, which of them each row has), of pairs (w, v)."""
                 key, inverse = np.unique(back * (wide + 1) + v + 1, return_inverse=True)
                 which, v = key // (wide + 1), key % (wide + 1) - 1
-                return level_.at(v, bounds[0][which], bounds[1][which]), inverse
+                return level_.at(v, *(g[which] for g in groups)), inverse
 
             i, i_of = placed(level.after, after, t)
             j, j_of = placed(level.before, before, u)
             some = i >= 0
-            third = [np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)]
-            for k, b in enumerate(range_(level.to_third, i[some])):
-                third[k][some] = b
+            third = np.zeros((3, len(i)), np.int64)
+            third[:, some] = group(level.to_third, level.third, i[some])
             q2 = np.where(some, level.prob2[np.maximum(i, 0)], 0)[i_of] / -float(STEP)
             back1 = level.back1[w] / -float(STEP)
             j = j[j_of]
             back2 = np.where(j >= 0, level.back2[np.maximum(j, 0)], 0) / -float(STEP)
             place = np.where(j >= 0, j - before[0][back], -1)
-            k = level.third.at(place, third[0][i_of], third[1][i_of])
+            k = level.third.at(place, *third[:, i_of])
             shorter = back2 + np.where(some[i_of], q2, back1 + low[s])
             out[s] = np.where(k >= 0, level.prob3[np.maximum(k, 0)] / -float(STEP), shorter)
         return out

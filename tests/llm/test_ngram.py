@@ -80,7 +80,7 @@ def test_groups_and_their_size():
     group = rnd.integers(0, 400, 3000)
     ask = np.where(rnd.random(3000) < 0.5, rnd.integers(-1, 5000, 3000), values[np.minimum(starts[group], len(values) - 1)])
     want = [next((i for i in range(starts[k], starts[k + 1]) if values[i] == x), -1) for k, x in zip(group, ask, strict=True)]
-    assert g.at(ask, starts[group], starts[group + 1]).tolist() == want
+    assert g.at(ask, starts[group], starts[group + 1], g.base(starts[group])).tolist() == want
     v = np.sort(rnd.integers(0, 1 << 30, 100_000))
     bits = 8 * sum(x.nbytes for x in encode(v, 1 << 30).values()) / len(v)
     assert bits < math.log2((1 << 30) / len(v)) + 2 + 1.6  # two bits above the low ones, and the directory
