@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +90,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_md5", swap).withColumns({"k1": half(0), "k2": half(1)}).drop("_md5")
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """k1, k2, data of distinct texts: copies, however many, meet as one of each map task."""
+    return _keyed(docs.select("data")).groupBy("k1", "k2").agg(F.first("data").alias("data"))
+
+
 _PIECES = "a long, nb long, n long, data binary"
 
 
@@ -105,103 +109,50 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["a", "nb", "n", "data"])
 
 
-def repeated_windows(texts: list[bytes], counts: list[int], folder: str | None = None, memory: int = induced.MEMORY) -> list[list[tuple[int, int]]]:
+def repeated_windows(texts: list[bytes], counts: list[int], folder: str | None = None, memory: int = induced.MEMORY, stats: dict | None = None) -> list[list[tuple[int, int]]]:
     """For each text, the runs (first, last) of window starts whose window is elsewhere too, the text itself standing `counts` times.
 
     The texts are joined to one and its suffixes sorted; windows that are equal
-    stand side by side with a common prefix of a window's length. A run of those
-    repeats if it holds two starts, or one of a text that stands twice.
+    stand side by side with a common prefix of a window's length. A window across two
+    texts holds the mark between them, so it is equal to none that lies within one.
     """
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    joined = np.frombuffer(b"".join(texts), np.uint8)
-    used = np.bincount(joined, minlength=256) > 0
-    code = np.zeros(256, np.int64)
-    code[used] = np.arange(2, 2 + used.sum())
-    if code.max() > 254:  # more than 253 kinds of byte: two symbols a byte keep order and alignment
-        return _repeated_wide(texts, counts, folder, memory)
-    return _repeated(joined, size, np.array(counts), code.astype(np.uint8), WINDOW, 1, folder, memory)
-
-
-def _repeated_wide(texts: list[bytes], counts: list[int], folder: str | None, memory: int) -> list[list[tuple[int, int]]]:
-    halves = [np.stack([np.frombuffer(t, np.uint8) >> 4, np.frombuffer(t, np.uint8) & 15], axis=1).astype(np.uint8).ravel() for t in texts]
-    size = np.fromiter(map(len, halves), np.int64, len(halves))
-    code = np.arange(2, 258).astype(np.uint8)
-    return _repeated(np.concatenate(halves), size, np.array(counts), code, 2 * WINDOW, 2, folder, memory)
-
-
-def _repeated(joined: np.ndarray, size: np.ndarray, counts: np.ndarray, code: np.ndarray, window: int, step: int, folder: str | None, memory: int) -> list[list[tuple[int, int]]]:
-    k = len(size)
-    starts = np.concatenate([[0], np.cumsum(size + 1)])
-    text = np.ones(int(starts[-1]) + 1, np.uint8)
-    of = np.repeat(np.arange(k), size)
-    text[np.arange(len(joined)) + of] = code[joined]
-    text[-1] = 0
-    whole = np.zeros(len(text), bool)  # starts of windows that lie within a text
-    for s, n in zip(starts.tolist(), size.tolist(), strict=False):
-        if n >= window:
-            whole[s : s + n - window + 1 : step] = True
-    found = []
-    held: list[np.ndarray] = []
-
-    def close() -> None:
-        pos = np.concatenate(held)
-        if len(pos) > 1 or counts[np.searchsorted(starts, pos[0], "right") - 1] > 1:
-            found.append(pos)
-
-    for pos, lcp in induced.suffixes(text, window, folder, memory):
-        own = whole[pos]
-        # a start whose prefix with the one before is short begins a run; starts outside texts belong to none
-        run = np.cumsum(lcp < window)
-        p, r = pos[own], run[own]
-        if not len(p):
-            if len(run) and run[-1] and held:
-                close()
-                held = []
-            continue
-        edges = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(p)]
-        sizes = np.diff(edges)
-        if held and r[0] > 0:
-            close()
-            held = []
-        # runs inside the step: only those of several starts, or of texts that stand twice, matter
-        text_of = np.searchsorted(starts, p, "right") - 1
-        many = np.repeat(sizes > 1, sizes) | (counts[text_of] > 1)
-        first, last = edges[1], edges[-2]
-        if len(sizes) == 1:
-            held.append(p)
-        else:
-            held.append(p[:first])
-            close()
-            inner = p[first:last][many[first:last]]
-            if len(inner):
-                found.append(inner)
-            held = [p[last:]]
-        if run[-1] > r[-1]:
-            close()
-            held = []
-    if held:
-        close()
-    out: list[list[tuple[int, int]]] = [[] for _ in range(k)]
-    if found:
-        at = np.sort(np.concatenate(found))
-        t = np.searchsorted(starts, at, "right") - 1
-        gap = np.flatnonzero((at[1:] != at[:-1] + step) | (t[1:] != t[:-1])) + 1
-        for s, e in zip([0, *gap.tolist()], [*gap.tolist(), len(at)], strict=True):
-            i = int(t[s])
-            out[i].append((int(at[s] - starts[i]) // step, int(at[e - 1] - starts[i]) // step))
+    used = sorted(set().union(*map(set, texts)))
+    if len(used) <= 253:
+        step, code = 1, bytearray(256)
+        for i, x in enumerate(used):
+            code[x] = i + 2
+        coded = (t.translate(bytes(code)) for t in texts)
+    else:  # more kinds of byte: two symbols a byte keep order and alignment
+        step, halves = 2, [bytes((x >> 4, x & 15)).translate(bytes(range(2, 256)) + bytes(2)) for x in range(256)]
+        coded = (b"".join(map(halves.__getitem__, t)) for t in texts)
+    text = np.frombuffer(b"\x01".join(coded) + b"\x01" + bytes(9), np.uint8)
+    window, again = WINDOW * step, np.zeros(len(text), bool)
+    last = None
+    for pos, lcp in induced.suffixes(text, window, folder, memory, stats):
+        same = lcp >= window
+        if same[0]:
+            again[last] = True
+        again[pos[same]] = True
+        again[pos[:-1][same[1:]]] = True
+        last = pos[-1]
+    out, at = [], 0
+    for t, n in zip(texts, counts, strict=True):
+        size = len(t) * step
+        m = size - window + 1
+        here = np.ones(len(t) - WINDOW + 1, bool) if n > 1 and m > 0 else again[at : at + max(m, 0) : step]
+        edge = np.flatnonzero(np.diff(here, prepend=False, append=False))
+        out.append([*zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True)])
+        at += size + 1
     return out
 
 
 def _sorter(work: str):
-    at = urlparse(work)
-    folder = at.path if at.scheme in ("", "file") else None  # queues stay in memory where the folder is not mounted
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (shard, a, nb, n, data), sorted by shard and a, to (nb, a, first, last) of windows that repeat."""
 
         def sort(held: dict[tuple[int, int], tuple[int, bytes]]) -> pa.RecordBatch:
             keys = [*held]
-            got = repeated_windows([held[k][1] for k in keys], [held[k][0] for k in keys], folder)
+            got = repeated_windows([held[k][1] for k in keys], [held[k][0] for k in keys], work)
             rows = [(a, nb, s, e) for (a, nb), runs in zip(keys, got, strict=True) for s, e in runs]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["a", "nb", "s", "e"])
 
@@ -248,7 +199,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.update(data[at:])
             rows.append((len(data), removed, n, kept.hexdigest()))
         cols = [*zip(*rows, strict=True)] if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_spans(docs: DataFrame, work: str) -> DataFrame:
@@ -272,7 +223,7 @@ def repeated_spans(docs: DataFrame, work: str) -> DataFrame:
     kinds = by.groupBy("a").agg(F.count("*").alias("kinds"), F.sum(F.col("one.hi") - F.col("one.lo") + WINDOW).alias("bytes"))
     by = cut(by.join(kinds, "a"))
     wanted = by.where("kinds > 1 or own").select("one.k1", "one.k2", F.struct("a", "nb", "n", "one.lo", "one.hi").alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
-    pieces = _keyed(docs.where(F.octet_length("data") >= WINDOW).select("data")).join(wanted, ["k1", "k2"]).select("data", "wanted").mapInArrow(_slices, _PIECES)
+    pieces = _texts(docs.where(F.octet_length("data") >= WINDOW)).join(wanted, ["k1", "k2"]).select("data", "wanted").mapInArrow(_slices, _PIECES)
     hot = by.where(F.col("bytes") > HOT).select("a").distinct()
     hot_n = hot.count()
     total = by.where("kinds > 1 or own").agg(F.coalesce(F.sum(F.col("one.hi") - F.col("one.lo") + WINDOW), F.lit(0))).first()[0]
@@ -299,11 +250,12 @@ def remove_repeats(docs: DataFrame, work: str) -> DataFrame:
     A byte goes if a window of 400 bytes that covers it also starts anywhere else,
     in this or another row, overlapping or not. Repeated rows are other rows, also
     of one id; null ids stay. A null text is empty. Texts of under 400 bytes have
-    no window. An empty table gives an empty one.
+    no window. Each distinct text is cut and digested once; rows meet its result. An empty table gives an empty one.
     """
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     gaps = repeated_spans(d, work).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("gaps"))
-    return _keyed(d).join(gaps, ["k1", "k2"], "left").select("doc_id", "data", "gaps").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = _texts(d).join(gaps, ["k1", "k2"], "left").mapInArrow(_apply, "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _keyed(d).select("doc_id", "k1", "k2").join(done, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op1_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,17 +46,39 @@ def tangled():
 
 def test_suffixes_against_sorting(tmp_path, monkeypatch):
     monkeypatch.setattr(induced, "STEP", 32)
+    monkeypatch.setattr(induced, "RUN", 8)
     rnd = random.Random(0)
-    for _ in range(60):
-        limit, n = rnd.choice([3, 8, 20, 40]), rnd.randrange(1, 300)
+    deep = []
+    inner = induced._recursive
+    monkeypatch.setattr(induced, "_recursive", lambda *a: deep.append(len(a[2])) or inner(*a))
+    for _ in range(80):
+        limit, n = rnd.choice([3, 8, 20, 40]), rnd.randrange(1, 400)
         b = bytes(rnd.randrange(1, rnd.choice([3, 5, 200])) for _ in range(n))
         b += b[rnd.randrange(n) :][:60] + b"a" * rnd.randrange(50) + b"\x00"
-        steps = [*induced.suffixes(np.frombuffer(b, np.uint8), limit, str(tmp_path), rnd.choice([4, 1 << 20]))]
+        steps = [*induced.suffixes(np.frombuffer(b + bytes(8), np.uint8), limit, f"file://{tmp_path}", rnd.choice([1, 4, 1 << 20]))]
         pos, lcp = np.concatenate([p for p, _ in steps]).tolist(), np.concatenate([x for _, x in steps]).tolist()
         assert sorted(pos) == [*range(len(b))]
         for i, j, k in zip(pos, pos[1:], lcp[1:], strict=False):
             assert b[i : i + limit] >= b[j : j + limit]
             assert k == next((x for x in range(limit) if i + x >= len(b) or j + x >= len(b) or b[i + x] != b[j + x]), limit)
+    assert len(deep) > 60 and any(x > y for x, y in zip(deep, deep[1:]))  # levels below levels
+    assert not [*tmp_path.iterdir()]
+
+
+def test_a_shard_far_larger_than_memory(tmp_path, monkeypatch):
+    monkeypatch.setattr(induced, "RUN", 1 << 8)
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(500, 3000))).encode() for _ in range(120)]
+    for i in range(0, 120, 5):
+        texts[i] = texts[i][:300] + texts[(i + 7) % 120][100:900] + texts[i][300:]
+    stats = {}
+    memory = sum(map(len, texts)) // 64
+    got = repeats.repeated_windows(texts, [1] * 119 + [2], f"file://{tmp_path}", memory, stats)
+    assert stats["written"] > 8 * memory
+    assert got == repeats.repeated_windows(texts, [1] * 119 + [2])
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    for t, runs in zip(texts[:-1], got, strict=False):
+        assert {i for s, e in runs for i in range(s, e + 1)} == {i for i in range(len(t) - 399) if seen[t[i : i + 400]] > 1}
 
 
 def test_against_all_windows(spark, sf, tmp_path):
