@@ -48,6 +48,10 @@ def masked(c: Column) -> Column:
     return c
 
 
+#: Most first words of names that are looked for in a text before n-grams are made; with more, n-grams are made of all words.
+FEW_WORDS = 5000
+
+
 def mentions(texts: DataFrame, names: DataFrame, max_words: int | None = None) -> DataFrame:
     """texts (id, body), names (surface, node_id) to (id, surface, node_id, n): names as whole words, of overlapping ones the longest.
 
@@ -60,11 +64,15 @@ def mentions(texts: DataFrame, names: DataFrame, max_words: int | None = None) -
     keyed = names.select(F.array_join(in_name, " ").alias("gram"), "surface", "node_id").where("gram <> ''")
     if max_words is None:
         max_words = names.agg(F.max(F.size(in_name))).first()[0] or 1
+    first = [r.w for r in keyed.select(F.substring_index("gram", " ", 1).alias("w")).distinct().limit(FEW_WORDS + 1).collect()]
 
     def grams_of(w: Column) -> Column:
         n = F.size(w)
+        start = F.sequence(F.lit(0), n - 1)
+        if len(first) <= FEW_WORDS:  # only where a name may begin
+            start = F.filter(start, lambda i: F.get(w, i).isin(*first))
         at = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(max_words), n - i)), lambda k: F.struct(i.alias("at"), k.alias("k"), F.array_join(F.slice(w, i + 1, k), " ").alias("gram")))
-        return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)))
+        return F.when(n > 0, F.flatten(F.transform(start, at)))
 
     found = F.regexp_extract_all(F.lower(masked(F.col("body"))), F.lit(word), F.lit(0))
     once = F.get(F.transform(F.array(found), grams_of), F.lit(0))  # the words are found once, not for every gram

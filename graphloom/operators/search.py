@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
 from ..schema import HUBS, MAIN, TYPE_BOOST, choose
+from ..shared import kept
 
 K1, B = 1.2, 0.75
 
@@ -64,6 +65,33 @@ def postings(docs: DataFrame) -> DataFrame:
     return d.select("node_id", "len", F.inline("t")).groupBy("term", "node_id", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+#: Most terms of a batch of searches for which postings are made of these alone.
+FEW_TERMS = 1000
+
+
+def index_for(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings that the queries need, corpus size) where no index is kept: texts are cut into tokens once.
+
+    Of each document its length and the tokens that are asked for are kept; so little
+    moves. A batch of more terms than FEW_TERMS meets the whole index instead.
+    """
+    asked = queries.select(F.explode("tokens").alias("t")).select(F.explode(index_tokens(F.col("t"))).alias("term")).distinct()
+    terms = [r.term for r in asked.limit(FEW_TERMS + 1).collect()]
+    if len(terms) > FEW_TERMS:
+        return postings(docs), corpus_size(docs)
+    gap = 1 << 20
+
+    def placed(name: str, base: int) -> Column:
+        return F.transform(index_tokens(F.col(name)), lambda t, i: F.struct(t.alias("term"), (i + base).alias("pos")))
+
+    every = F.concat(*[placed(c, k * gap) for k, c in enumerate(("title", "content", "tags"))])
+    # worked out once, not for its size and its filter each
+    once = F.get(F.transform(F.array(every), lambda t: F.struct(F.size(t).alias("len"), F.filter(t, lambda x: x["term"].isin(*terms)).alias("t"))), F.lit(0))
+    d = kept(docs.select("node_id", once.alias("o")).select("node_id", "o.len", "o.t"))
+    index = d.select("node_id", "len", F.inline("t")).groupBy("term", "node_id", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return index, d.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+
+
 def corpus_size(docs: DataFrame) -> DataFrame:
     """One row: n documents and their average length in tokens."""
     n = F.size(index_tokens(F.col("title"))) + F.size(index_tokens(F.col("content"))) + F.size(index_tokens(F.col("tags")))
@@ -143,7 +171,8 @@ def ranked(nodes: DataFrame, docs: DataFrame, tags: DataFrame, aliases: DataFram
     """
     opts = opts or SearchOptions()
     scoped = nodes.where(in_scope(opts.scope, opts.scope_mode))
-    hits = bm25(postings(docs) if index is None else index, corpus_size(docs), queries)
+    index, size = index_for(docs, queries) if index is None else (index, corpus_size(docs))
+    hits = bm25(index, size, queries)
     hits = hits.join(scoped.select("id", "node_type", "title", "file_path"), F.col("node_id") == F.col("id"))
     if opts.oversample is not None:
         hits = top(hits, max(2 * opts.limit, opts.oversample), F.round("bm25", 9), F.col("id"))
@@ -160,10 +189,10 @@ def ranked(nodes: DataFrame, docs: DataFrame, tags: DataFrame, aliases: DataFram
 def all_terms(docs: DataFrame, tokens: Sequence[str]) -> DataFrame:
     """The plain search: documents that hold every token, best first by BM25, at most 50."""
     q = docs.sparkSession.createDataFrame([(0, list(tokens))], "query_id int, tokens array<string>")
-    index = postings(docs)
+    index, size = index_for(docs, q)
     asked = index_tokens(F.lit(" ".join(tokens)))
     full = index.where(F.array_contains(asked, F.col("term"))).groupBy("node_id").agg(F.count_distinct("term").alias("c")).where(F.col("c") == F.size(F.array_distinct(asked)))
-    return top(bm25(index, corpus_size(docs), q).join(full.select("node_id"), "node_id", "left_semi"), 50, F.round("bm25", 9), F.col("node_id"))
+    return top(bm25(index, size, q).join(full.select("node_id"), "node_id", "left_semi"), 50, F.round("bm25", 9), F.col("node_id"))
 
 
 def merged(results: Sequence[tuple[str, DataFrame]], limit: int) -> DataFrame:

@@ -56,7 +56,7 @@ s AS (SELECT query_id, id, -sum(greatest(CASE WHEN ln((n - df + 0.5) / (df + 0.5
 @query("bm25_documents", _BM25 + " SELECT query_id, id AS node_id, round(bm25, 6) + 0.0::DOUBLE AS bm25 FROM s")
 def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, docs, _, _ = doc_nodes(spark, sf_dir)
-    return search.bm25(search.postings(docs), search.corpus_size(docs), _searches(spark)).select("query_id", "node_id", F.round("bm25", 6).alias("bm25"))
+    return search.bm25(*search.index_for(docs, _searches(spark)), _searches(spark)).select("query_id", "node_id", F.round("bm25", 6).alias("bm25"))
 
 
 def _ranked_sql(limit: int, scope: str = "true", types: str = "true") -> str:
@@ -362,9 +362,10 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("near_dup_jaccard", r"""WITH d AS (SELECT doc_id, md5(substr(text, 1, 40)) AS k, list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: strlen(x) > 2)) AS w FROM documents)
-SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM d a JOIN d b ON a.k = b.k AND a.doc_id < b.doc_id
-WHERE len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) > 0.55""")
+@query("near_dup_jaccard", r"""WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: strlen(x) > 2)) AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS x FROM d), f AS (SELECT x FROM u GROUP BY x HAVING count(*) > 1), v AS (SELECT u.* FROM u SEMI JOIN f USING (x)),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS c FROM v a JOIN v b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) > 0.55 * greatest(a.n, b.n) GROUP BY 1, 2)
+SELECT a, b, round(c / (m + n - c), 6) AS jaccard FROM c WHERE c / (m + n - c) > 0.55""")
 def near_dup_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return vector.jaccard_pairs(d, 0.55).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
