@@ -38,7 +38,7 @@ def test_each_stage_acts(spark, sf, tmp_path):
     assert {d: n for d, n in want.items() if n} == {d: n for d, n in got.items() if want.get(d, 1) and d in want}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     assert ids.count() == mixed.count()
-    for r in ids.dropDuplicates(["doc_id"]).limit(150).collect():
+    for r in ids.dropDuplicates(["doc_id"]).collect():
         t = now[r.doc_id].text or ""
         assert list(r.ids) == library.encode_ordinary(t) and r.n_tokens == len(r.ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
