@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .functions.text import changelog_versions, mass, prepared
-from .operators import context, doctor, graph, lexicon, resolve, scopes, search, upsert
+from .operators import context, doctor, graph, lexicon, linking, resolve, scopes, search, upsert
 from .schema import ANCHORED, ANCHORS, DOC_LINK, DOCS, EDGES, NODES, PENDING, RELATES, TAGS, GraphError, NotFound
 from .sources import bundle, workspace
 from .streaming import watch
@@ -46,6 +46,11 @@ class KnowledgeGraph:
         at = self.home / f"v{self.version}" / name
         return self.spark.read.schema(_TABLES[name]).parquet(str(at)) if at.exists() else self.spark.createDataFrame([], _TABLES[name])
 
+    def size(self) -> DataFrame:
+        """The corpus size as the sync counted it."""
+        at = self.home / f"v{self.version}" / "size"
+        return self.spark.read.parquet(str(at)) if at.exists() else search.corpus_size(self.table("docs"))
+
     def postings(self) -> DataFrame:
         """The kept index; made from the texts where a version has none."""
         at = self.home / f"v{self.version}" / "postings"
@@ -67,6 +72,7 @@ class KnowledgeGraph:
         if not graph.dangling(n, e).isEmpty():
             raise GraphError("an edge leads to no node")
         search.postings(self.spark.read.parquet(str(at / "docs"))).write.mode("overwrite").parquet(str(at / "postings"))
+        search.corpus_size(self.spark.read.parquet(str(at / "docs"))).write.mode("overwrite").parquet(str(at / "size"))
         graph.adjacency(n, e).write.mode("overwrite").parquet(str(at / "adjacency"))
         mark = self.home / "current.new"
         mark.write_text(str(new))
@@ -119,7 +125,7 @@ class KnowledgeGraph:
         return self.search_many(q, opts).drop("query_id").orderBy(F.desc("score"), "id")
 
     def search_many(self, queries: DataFrame, opts: search.SearchOptions | None = None) -> DataFrame:
-        return search.ranked(self.table("nodes"), self.table("docs"), self.table("tags"), self.table("aliases"), queries, opts, self.postings())
+        return search.ranked(self.table("nodes"), self.table("docs"), self.table("tags"), self.table("aliases"), queries, opts, self.postings(), self.size())
 
     def context(self, prompt: str, opts: context.ContextOptions | None = None) -> DataFrame:
         return self.context_many(self.spark.createDataFrame([(0, prompt)], "query_id long, prompt string"), opts).orderBy("place")
@@ -153,6 +159,28 @@ class KnowledgeGraph:
         found = lexicon.mentions(self.table("docs").select(F.col("node_id").alias("id"), F.col("content").alias("body")), names)
         return lexicon.plan(found, self.table("edges"), limit)
 
+    def apply_links(self, write: bool = False, style: str = "inline", tiers: tuple[str, ...] = ("normalize", "auto"), limit: int = 200) -> DataFrame:
+        """The edits that link the notes; with write, those of the tiers are made in the files, but for generated ones.
+
+        style: `inline` puts mentions as links where they stand, `related` lists them
+        under a heading; texts of links are put as ids in both.
+        """
+        n, aliases = self.table("nodes"), self.table("aliases")
+        rows = [(r.id, text) for r in n.where("file_path like '%.md'").select("id", "file_path").distinct().collect() if (at := Path(self.root, r.file_path)).exists() and (text := at.read_text()) is not None]
+        paths = {r.id: r.file_path for r in n.where("file_path like '%.md'").select("id", "file_path").collect()}
+        notes = self.spark.createDataFrame([(i, t, paths[i]) for i, t in rows], "id string, body string, path string").where(~context.generated(F.col("path"), F.col("body"))).select("id", "body")
+        links = linking.normalised(notes, n, aliases)
+        edits = links.unionByName(linking.discovered(notes, n, aliases, self.table("edges"), limit)).where(F.col("tier").isin(*tiers) | F.lit(not write)).orderBy("id", "start")
+        edits = self.spark.createDataFrame(edits.collect(), edits.schema)  # the plan as it was, also once files have changed
+        if write:
+            new = {r.id: r.body for r in linking.applied(notes, edits.where("tier = 'normalize'") if style == "related" else edits).collect()}
+            if style == "related":
+                now = self.spark.createDataFrame([(i, new.get(i, t)) for i, t in rows], "id string, body string")
+                new |= {r.id: r.body for r in linking.applied(now, edits.where("tier <> 'normalize'"), style).collect()}
+            for i, body in new.items():
+                Path(self.root, paths[i]).write_text(body)
+        return edits
+
     def export(self, path: str, decouple: bool = False, scope: str | None = None) -> None:
         bundle.export(self.table("nodes"), self.table("edges"), path, scope=scope, decouple=decouple)
 

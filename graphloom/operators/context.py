@@ -34,9 +34,14 @@ class ContextOptions:
     types: tuple[str, ...] = ()
 
 
-def generated(path: Column) -> Column:
+def generated(path: Column, text: Column | None = None) -> Column:
+    """Whether a file is made by a tool: by its path, or by `generated: true` in the front matter of its first 20 lines."""
     p = F.coalesce(path, F.lit(""))
-    return p.contains("from-readme") | p.contains(".generated.")
+    named = p.contains("from-readme") | p.contains(".generated.")
+    if text is None:
+        return named
+    head = F.array_join(F.slice(F.split(F.coalesce(text, F.lit("")), "\n"), 1, 20), "\n")
+    return named | (head.startswith("---\n") & F.rlike(F.split(F.substring(head, 5, 1 << 30), "(?m)^---").getItem(0), F.lit(r"(?m)^generated:\s*true\s*$")))
 
 
 def stub(node_id: Column, title: Column, path: Column) -> Column:

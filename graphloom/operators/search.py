@@ -162,7 +162,7 @@ def augmented(nodes: DataFrame, tags: DataFrame, aliases: DataFrame, queries: Da
     return named(tags, "tag", 3.5).unionByName(named(aliases, "alias", 3.0)).groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
-def ranked(nodes: DataFrame, docs: DataFrame, tags: DataFrame, aliases: DataFrame, queries: DataFrame, opts: SearchOptions | None = None, index: DataFrame | None = None) -> DataFrame:
+def ranked(nodes: DataFrame, docs: DataFrame, tags: DataFrame, aliases: DataFrame, queries: DataFrame, opts: SearchOptions | None = None, index: DataFrame | None = None, size: DataFrame | None = None) -> DataFrame:
     """queries (query_id, tokens) to (query_id, id, node_type, title, score, reason), the best `limit` of each.
 
     As many rows as `oversample` allows (at least twice the limit) come from the
@@ -171,7 +171,7 @@ def ranked(nodes: DataFrame, docs: DataFrame, tags: DataFrame, aliases: DataFram
     """
     opts = opts or SearchOptions()
     scoped = nodes.where(in_scope(opts.scope, opts.scope_mode))
-    index, size = index_for(docs, queries) if index is None else (index, corpus_size(docs))
+    index, size = index_for(docs, queries) if index is None else (index, corpus_size(docs) if size is None else size)
     hits = bm25(index, size, queries)
     hits = hits.join(scoped.select("id", "node_type", "title", "file_path"), F.col("node_id") == F.col("id"))
     if opts.oversample is not None:
