@@ -15,7 +15,7 @@ MEMORY, STEP = 1 << 20, 1 << 18
 #: Tuples of a queue's file, which are buffered before they are written.
 RUN = 1 << 14
 #: S* positions, as a multiple of the queues' memory, up to which their order is worked out in memory; above it the sort recurses.
-BASE = 4
+BASE = 8
 _TUPLE = "<u4,<u2"
 
 
@@ -198,7 +198,12 @@ def _in_memory(t: np.ndarray, starts: np.ndarray, limit: int) -> np.ndarray:
             g = rank[open_]
             keep = np.unique(g[longer])
             open_ = open_[np.isin(g, keep)]
-    names, span = rank, 1
+    return _doubled(rank, starts, limit)
+
+
+def _doubled(names: np.ndarray, starts: np.ndarray, limit: int) -> np.ndarray:
+    """The starts in order of the text of names, by doubling; a name is the number of starts with lesser ones."""
+    span = 1
     live = np.arange(len(starts))
     while span < limit:
         g, counts = np.unique(names[live], return_counts=True)
@@ -225,10 +230,26 @@ def _recursive(t: np.ndarray, n: int, starts: np.ndarray, limit: int, store: Sto
     S*-substrings are sorted by an induction from S* positions in any order and named
     by rank. The text of names, each written as so many characters, is sorted by the
     same way one level deeper; of its suffixes those count at which a name begins.
+    Where that text would not be shorter by a quarter, as with so many names that each
+    takes three characters, the names are ordered by doubling in memory, at some 50
+    bytes a name; the queues' bound holds all the same.
     """
     m = len(starts)
     sorted_, k = store.array(m, "<u4"), m
-    seeds = lambda c: ((p, np.zeros(len(p), np.uint16)) for a in range(0, m, STEP) if len(p := starts[a : a + STEP][t[starts[a : a + STEP]] == c]))
+    by_char, at = store.array(m, "<u4"), np.zeros(257, np.int64)
+    for a in range(0, m, STEP):
+        at[1:] += np.bincount(t[starts[a : a + STEP]], minlength=256)
+    bounds = np.cumsum(at)
+    fill = bounds[:-1].copy()
+    for a in range(0, m, STEP):
+        pos = starts[a : a + STEP]
+        chars = t[pos]
+        order = np.argsort(chars, kind="stable")
+        counts = np.bincount(chars, minlength=256)
+        to = np.repeat(fill - (np.cumsum(counts) - counts), counts) + np.arange(len(pos))
+        by_char[to] = pos[order]
+        fill += counts
+    seeds = lambda c: ((by_char[a : (e := min(a + STEP, bounds[c + 1]))], np.zeros(e - a, np.uint16)) for a in range(bounds[c], bounds[c + 1], STEP))
     for pos, _, small in _induced(t, n, seeds, limit, store, memory):
         if small:
             pos = pos.astype(np.int64)
@@ -252,6 +273,9 @@ def _recursive(t: np.ndarray, n: int, starts: np.ndarray, limit: int, store: Sto
     if name + 1 == m:
         return sorted_
     wide = next(w for w in range(1, 9) if 253**w > name)
+    if 4 * m * wide > 3 * n:  # a deeper level would be about as long
+        counts = np.bincount(names)
+        return _doubled((np.cumsum(counts) - counts)[names], np.asarray(starts, np.int64), limit)
     text = store.array(m * wide + 1 + 8, "u1")
     for a in range(0, m, STEP):
         v = names[a : a + STEP].astype(np.int64)

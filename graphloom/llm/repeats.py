@@ -17,7 +17,7 @@ from .common import cut, own_dir, parts, table
 
 WINDOW, GRAM = 400, 96
 #: Bytes of spans that one task sorts at a time, and bytes of one minimiser's spans beyond which its windows are counted by digest.
-SHARD, HOT = 6 << 20, 48 << 20
+SHARD, HOT = 6 << 20, 12 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
