@@ -179,23 +179,20 @@ class Graph:
         return ids, sim
 
     def near_to(self, q: np.ndarray, beam: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of all similarities of at least `least` that a beam finds; it is doubled for queries that it is too small for."""
-        out_q, out_i = [], []
-        todo = np.arange(len(q))
-        while len(todo):
-            wider = []
-            size = max(16, min(BLOCK, (1 << 24) // (beam * 64)))
-            for a in range(0, len(todo), size):
-                some = todo[a : a + size]
-                ids, sim = self._beam(q[some], self._descend(q[some], 0), 0, beam)
-                full = (sim[:, -1] >= least) & (beam < len(self.x))
-                hit = (sim >= least) & ~full[:, None]
-                r, c = np.nonzero(hit)
-                out_q.append(some[r])
-                out_i.append(ids[r, c])
-                wider.append(some[full])
-            todo, beam = np.concatenate(wider), min(beam * 2, max(len(self.x), 1))
-        return (np.concatenate(out_q), np.concatenate(out_i)) if out_q else (np.empty(0, int), np.empty(0, int))
+        """(query, row) of all similarities of at least `least` that a beam finds; queries that fill it are compared with all rows."""
+        out, wide = [], []
+        size = max(16, min(BLOCK, (1 << 24) // (beam * 64)))
+        for a in range(0, len(q), size):
+            some = np.arange(a, min(a + size, len(q)))
+            ids, sim = self._beam(q[some], self._descend(q[some], 0), 0, beam)
+            full = (sim[:, -1] >= least) & (beam < len(self.x))
+            r, c = np.nonzero((sim >= least) & ~full[:, None])
+            out.append((some[r], ids[r, c]))
+            wide.append(some[full])
+        if wide:  # a beam as wide as a dense place meets more rows, one by one, than the shard has
+            rest = np.concatenate(wide)
+            out.append(_pairs(rest, exact(self.x, q[rest], least)))
+        return (np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])) if out else (np.empty(0, int), np.empty(0, int))
 
 
 def exact(x: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
@@ -203,6 +200,10 @@ def exact(x: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
     return [np.flatnonzero(row) for a in range(0, len(q), BLOCK) for row in q[a : a + BLOCK] @ x.T >= least]
 
 
+def _pairs(queries: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(queries, np.fromiter(map(len, rows), int, len(rows))), np.concatenate([np.empty(0, int), *rows])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
@@ -211,30 +212,39 @@ def _audit(g: Graph, q: np.ndarray, own: np.ndarray, least: float) -> tuple[np.n
     """(audited, query, row): the true links of the audited queries, without those to their own rows.
 
     One query in AUDIT is audited, and twice as many until their links prove the recall
-    or no query is left. Queries are taken in an order that strides over all of them.
+    or no query is left. Links of queries that fill a first beam prove nothing, as those
+    are compared with all rows. Queries are taken in an order that strides over all of them.
     """
     order = np.concatenate([np.arange(k, len(q), AUDIT) for k in range(AUDIT)])
-    done, n, i, j = 0, -(-len(q) // AUDIT), [], []
+    done, n, proof, i, j = 0, -(-len(q) // AUDIT), 0, [], []
     while True:
         some = order[done:n]
-        rows = exact(g.x, q[some], least)
-        u, v = np.repeat(some, [len(r) for r in rows]), np.concatenate(rows)
+        u, v = _pairs(some, exact(g.x, q[some], least))
         real = v != own[u]
+        proof += (real & (np.bincount(u, minlength=len(q))[u] < FIRST_BEAM)).sum()
         i.append(u[real])
         j.append(v[real])
         done = n
-        if sum(map(len, i)) >= PROOF or done == len(q):
+        if proof >= PROOF or done == len(q):
             return order[:done], np.concatenate(i), np.concatenate(j)
         n = min(2 * n, len(q))
 
 
+def _proven(g: Graph, q: np.ndarray, own: np.ndarray, least: float, beam: int, truth: np.ndarray) -> bool:
+    """Whether the queries that a beam answers find RECALL of their links; truth: the query of each true link."""
+    i, j = g.near_to(q, beam, least)
+    answered = np.bincount(i, minlength=len(q)) < beam  # the others were compared with all rows
+    return (answered[i] & (j != own[i])).sum() >= RECALL * answered[truth].sum()
+
+
 def links_between(have: np.ndarray, ask: np.ndarray, cosine: float = COSINE, graph: Graph | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of cosine >= `cosine`, candidates from the graph, each verified in double precision.
 
-    own: the row that a query itself is, -1 for none; a link to it is no link of the
-    audit. The beam is doubled until the audited queries find the links that brute
-    force does. Where that takes a beam as wide as the shard, or so few queries have
-    links that all of them were audited, all queries are compared in blocks.
+    own: the row that a query itself is, -1 for none; a link to it is none. The beam is
+    doubled until the audited queries find the links that brute force does; these keep
+    brute force's links, the others are asked with that beam. Where that takes a beam
+    as wide as the shard, or so few queries have links that all of them were audited,
+    all queries are compared in blocks.
     """
     if not len(have) or not len(ask):
         return np.empty(0, int), np.empty(0, int)
@@ -246,17 +256,18 @@ def links_between(have: np.ndarray, ask: np.ndarray, cosine: float = COSINE, gra
         own = np.full(len(q), -1)
     audited, i, j = _audit(g, q, own, slack)
     if len(audited) < len(q):
-        total, beam = len(i), FIRST_BEAM
-        while True:
-            i, j = g.near_to(q[audited], beam, slack)
-            if (j != own[audited[i]]).sum() >= RECALL * total or beam >= len(a):
-                break
+        at, beam = np.empty(len(q), int), FIRST_BEAM
+        at[audited] = np.arange(len(audited))
+        while beam < len(a) and not _proven(g, q[audited], own[audited], slack, beam, at[i]):
             beam *= 2
+        rest = np.setdiff1d(np.arange(len(q)), audited)
         if beam < len(a):
-            i, j = g.near_to(q, beam, slack)
+            u, v = g.near_to(q[rest], beam, slack)
+            u = rest[u]
         else:
-            all_ = exact(g.x, q, slack)
-            i, j = np.repeat(np.arange(len(q)), [len(r) for r in all_]), np.concatenate(all_)
+            u, v = _pairs(rest, exact(g.x, q[rest], slack))
+        real = v != own[u]
+        i, j = np.concatenate([i, u[real]]), np.concatenate([j, v[real]])
     keep = np.concatenate([np.einsum("nd,nd->n", b[i[s : s + 65536]], a[j[s : s + 65536]]) >= cosine for s in range(0, len(i), 65536)]) if len(i) else np.empty(0, bool)
     return i[keep], j[keep]
 
