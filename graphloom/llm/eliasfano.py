@@ -89,12 +89,28 @@ class EliasFano:
         byte = (word >> shift) & np.uint64(255)
         return at * 64 + shift.astype(np.int64) + _IN_BYTE[(byte << np.uint64(3) | rest).astype(np.int64)]
 
+    def _next(self, at: np.ndarray, k: np.ndarray, one: bool) -> np.ndarray:
+        """Position of the k-th one or zero, which is the first at or after `at`: in the same word, as a rule."""
+        word = self.upper[at >> 6]
+        word = (word if one else ~word) >> (at & 63).astype(np.uint64)
+        out = at + np.bitwise_count(~word & (word - np.uint64(1)))
+        if len(far := np.flatnonzero(word == 0)):
+            out[far] = self._select(k[far], one)
+        return out
+
     def get(self, i: np.ndarray) -> np.ndarray:
         i = i.astype(np.int64)
         return ((self._select(i, True) - i) << self.bits) | self._low(i)
 
+    def both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The i-th value and the one after it."""
+        i = i.astype(np.int64)
+        at = self._select(i, True)
+        on = self._next(at + 1, i + 1, True)
+        return ((at - i) << self.bits) | self._low(i), ((on - i - 1) << self.bits) | self._low(i + 1)
+
     def find(self, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Where in [begin, end) each value is, or -1: among those of the same upper part, the successor by low bits."""
+        """Where in [begin, end) each value is, or -1, no value being there twice: among those of the same upper part, the last whose low bits are no more."""
         value = value.astype(np.int64)
         out = np.full(len(value), -1, np.int64)
         there = value >> self.bits < len(self.upper) * 64 - self.n  # upper parts are as many as zeros
@@ -102,21 +118,19 @@ class EliasFano:
             live = np.flatnonzero(there)
             out[live] = self.find(value[live], begin[live], end[live]) if len(live) else out[live]
             return out
-        high, low = value >> self.bits, value & ((1 << self.bits) - 1)
-        before = np.maximum(high - 1, 0)
-        bit = np.where(high > 0, self._select(before, False) + 1, 0)  # where the ones of this upper part begin
-        at = bit - high
-        one = (self.upper[np.minimum(bit >> 6, len(self.upper) - 1)] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        live = np.flatnonzero(one)  # the others' upper part has no values
-        last = np.minimum(self._select(high[live], False) - high[live], end[live])
-        lo, hi = at[live], last.copy()
-        want = low[live]
-        while len(open_ := np.flatnonzero(lo < hi)):
+        high = value >> self.bits
+        bit = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1, 0)  # where the ones of this upper part begin
+        stop = self._next(bit, high, False)
+        lo, hi = np.maximum(bit - high, begin), np.minimum(stop - high, end)
+        live = np.flatnonzero(lo < hi)  # the others' upper part has no values there
+        lo, hi, want = lo[live], hi[live], value[live] & ((1 << self.bits) - 1)
+        open_ = np.flatnonzero(hi - lo > 1)
+        while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
-            less = self._low(np.minimum(mid, self.n - 1)) < want[open_]
-            lo[open_], hi[open_] = np.where(less, mid + 1, lo[open_]), np.where(less, hi[open_], mid)
-        hit = (lo >= begin[live]) & (lo < last)
-        hit &= self._low(np.minimum(lo, self.n - 1)) == want
+            less = self._low(mid) <= want[open_]
+            lo[open_], hi[open_] = np.where(less, mid, lo[open_]), np.where(less, hi[open_], mid)
+            open_ = open_[hi[open_] - lo[open_] > 1]
+        hit = self._low(lo) == want
         out[live[hit]] = lo[hit]
         return out
 

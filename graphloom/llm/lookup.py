@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ def _blob(to: str, b: int) -> memoryview:
 def places(to: str, keys: Sequence[bytes]) -> np.ndarray:
     """The place of each key among all keys by hash, -1 where it is not in the table."""
     n = len(keys)
-    h = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in keys), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, keys, repeat(42)), np.uint64, n)
     c = np.fromiter(map(zlib.crc32, keys), np.uint32, n)
     out = np.full(n, -1, np.int64)
     order = np.argsort(h)

@@ -86,13 +86,36 @@ def chunked(docs: DataFrame, to: str) -> DataFrame:
     return docs.sparkSession.read.parquet(f"{to}/chunks")
 
 
-def _ids(b: pa.RecordBatch, i: int, to: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words of a chunk's texts (-1: unknown) and the number of words of each text."""
-    known = lookup.places(to, [x.encode() for x in b.column("words")[i].values.to_pylist()])
+def _words(b: pa.RecordBatch, i: int) -> list[bytes]:
+    """The distinct words of a chunk's texts."""
+    words = b.column("words")[i].values.cast(pa.binary())
+    if not len(words):
+        return []
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    flat = words.buffers()[2].slice(int(at[0]), int(at[-1] - at[0])).to_pybytes()
+    at = (at - at[0]).tolist()
+    return [flat[x:y] for x, y in zip(at, at[1:], strict=False)]
+
+
+def _ids(b: pa.RecordBatch, i: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is known of each word of a chunk's texts, and the number of words of each text."""
     seq = _unplanes(b.column("seq")[i].as_buffer())
     return (known[seq] if len(seq) else np.empty(0, np.int64)), _unplanes(b.column("seq_n")[i].as_buffer())
 
 
+def _distinct(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers below `most` in order, and which of them each is."""
+    bits = len(x).bit_length()
+    if not len(x) or most << bits >= 1 << 63:
+        return np.unique(x, return_inverse=True)
+    s = np.sort(x << bits | np.arange(len(x)))  # several times as fast as an order by argsort
+    key = s >> bits
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    of = np.empty(len(x), np.int64)
+    of[s & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return key[new], of
+
+
 def steps_of(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word before the last, last word, token) of each text's words and its end; before the first word, and as the end token, stands `end`."""
     n = len(ids) + len(sizes)
@@ -118,6 +141,11 @@ def _ordered(one: np.ndarray, token: np.ndarray, two: np.ndarray, most: tuple[in
 
 def _summed(one: np.ndarray, token: np.ndarray, two: np.ndarray, n: np.ndarray | None, most: tuple[int, int]) -> tuple[np.ndarray, ...]:
     """Distinct (one, token, two) in order, with their counts added up."""
+    if n is None and most[0] * most[1] * most[1] < 1 << 63:
+        key = np.sort((one * most[1] + token) * most[1] + two)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        pair, c = np.divmod(key[first], most[1])
+        return *np.divmod(pair, most[1]), c, np.diff(np.append(first, len(key)))
     order = _ordered(one, token, two, most)
     a, b, c = one[order], token[order], two[order]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
@@ -143,7 +171,7 @@ def _counter(to: str, width: int, ranges: int):
 
         for b in batches:
             for i in range(b.num_rows):
-                ids, sizes = _ids(b, i, to)
+                ids, sizes = _ids(b, i, lookup.places(to, _words(b, i)))
                 learn = np.frombuffer(b.column("learn")[i].as_buffer(), bool)
                 held.append(steps_of(ids[np.repeat(learn, sizes)], sizes[learn], wide - 1))
                 n += len(held[-1][0])
@@ -188,14 +216,14 @@ def _trie_builder(to: str, width: int):
         # Witten-Bell: each kind of successor gives one count to the shorter history
         single = np.zeros(len(after))
         word = after < wide - 1
-        own, back = np.unique(after[word], return_inverse=True)
+        own, back = _distinct(after[word], wide)
         single[word] = lookup.numbers(to, own)[back]
         all_, distinct, ends = map(int, lookup.load(to, "meta", "<i8"))
         single[~word] = ends
         kinds, total = np.bincount(after_one, minlength=here), np.bincount(after_one, c, minlength=here)
         back1 = kinds / np.maximum(total + kinds, 1)
         p2 = c / (total + kinds)[after_one] + back1[after_one] * (single + 1) / (all_ + distinct + 1)
-        before, at = np.unique(one * wide + two, return_inverse=True)
+        before, at = _distinct(one * wide + two, here * wide)
         before_one, before = before // wide, before % wide
         kinds2, total2 = np.bincount(at), np.bincount(at, n)
         back2 = kinds2 / (total2 + kinds2)
@@ -253,56 +281,63 @@ class Model:
     def __init__(self, to: str, all_: int, distinct: int, ends: int, width: int) -> None:
         self.to, self.all, self.distinct, self.ends, self.width = to, all_, distinct, ends, width
 
-    def counts(self, ids: np.ndarray, wide: int) -> np.ndarray:
-        """Training count of each token; 0 of unknown ones."""
-        out = np.zeros(len(ids), np.int64)
-        out[ids == wide - 1] = self.ends
-        known = (ids >= 0) & (ids < wide - 1)
-        own, back = np.unique(ids[known], return_inverse=True)
-        out[known] = lookup.numbers(self.to, own)[back]
+    def counts(self, own: np.ndarray, wide: int) -> np.ndarray:
+        """Training count of each of these tokens, in ascending order; 0 of unknown ones."""
+        out = np.zeros(len(own), np.int64)
+        out[own == wide - 1] = self.ends
+        known = (own >= 0) & (own < wide - 1)
+        out[known] = lookup.numbers(self.to, own[known])
         return out
 
-    def log10(self, two: np.ndarray, one: np.ndarray, token: np.ndarray, wide: int, low: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability after its last two words; low: that of the token alone.
+    def log10(self, own: np.ndarray, low: np.ndarray, two: np.ndarray, one: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """log10 of each token's probability after its last two words; these are given by their place in own, tokens in ascending order; low: that of each of own alone.
 
         All is in the range of the last word: the token among the words after it, the
         word before among the words before it, whose place there is then looked for
-        among those of this pair.
+        among those of this pair. Each distinct pair and triple is looked for once.
         """
-        out = low.copy()
-        rows = np.flatnonzero(one >= 0) if self.all else np.empty(0, int)
-        rows = rows[np.argsort(one[rows] * (wide + 1) + token[rows])]  # searches go through the levels in order
-        of = one[rows] // self.width
-        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        n = len(own)
+        # ordered by the last word, so that a range's are side by side and searches go through the levels in order
+        pairs, pair_of = _distinct(one * n + token, n * n)
+        befores, before_of = _distinct(one * n + two, n * n)
+        triples, of = _distinct(pair_of * len(befores) + before_of, len(pairs) * len(befores))
+        to_pair, to_before = triples // len(befores), triples % len(befores)
+        token, two = pairs % n, befores % n
+        after_one, before_one = pairs // n, befores // n
+        shorter, back2, out = low[token], np.zeros(len(befores)), np.full(len(triples), np.nan)
+        ones = np.flatnonzero(np.bincount(after_one, minlength=n))  # the same before and after
+        ones = ones[own[ones] >= 0] if self.all else ones[:0]
+        ranges = own[ones] // self.width
+        cuts = [0, *(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist(), len(ones)]
         for x, y in zip(cuts, cuts[1:], strict=False):
-            if x == y or (level := _level(self.to, int(of[x]))) is None:
+            if x == y or (level := _level(self.to, int(ranges[x]))) is None:
                 continue
-            s = rows[x:y]
-            w, t, u = one[s] - int(of[x]) * self.width, token[s], two[s]
-            own, back = np.unique(w, return_inverse=True)
-            group = lambda p, level_, i: (begin := p.get(i), p.get(i + 1), level_.base(begin))
-            after, before = group(level.to_after, level.after, own), group(level.to_before, level.before, own)
-
-            def placed(level_: Grouped, groups: tuple[np.ndarray, ...], v: np.ndarray, back=back) -> tuple[np.ndarray, np.ndarray]:
-                """(distinct places in the level, which of them each row has), of pairs (w, v)."""
-                key, inverse = np.unique(back * (wide + 1) + v + 1, return_inverse=True)
-                which, v = key // (wide + 1), key % (wide + 1) - 1
-                return level_.at(v, *(g[which] for g in groups)), inverse
-
-            i, i_of = placed(level.after, after, t)
-            j, j_of = placed(level.before, before, u)
-            some = i >= 0
+            here = ones[x:y]
+            w = own[here] - int(ranges[x]) * self.width
+
+            def placed(pointers: EliasFano, groups: Grouped, of_one: np.ndarray, v: np.ndarray, here=here, w=w) -> tuple[slice, np.ndarray, np.ndarray, np.ndarray]:
+                """The part of the pairs (one, v) whose word is here, which of the words each has, its place in the level, and where the word's group begins."""
+                s = slice(*np.searchsorted(of_one, (here[0], here[-1] + 1)).tolist())
+                which = np.searchsorted(here, of_one[s])
+                begin, end = pointers.both(w)
+                base = groups.base(begin)
+                return s, which, groups.at(own[v[s]], begin[which], end[which], base[which]), begin[which]
+
+            s, which, i, _ = placed(level.to_after, level.after, after_one, token)
+            some = np.flatnonzero(i >= 0)
             third = np.zeros((3, len(i)), np.int64)
-            third[:, some] = group(level.to_third, level.third, i[some])
-            q2 = np.where(some, level.prob2[np.maximum(i, 0)], 0)[i_of] / -float(STEP)
-            back1 = level.back1[w] / -float(STEP)
-            j = j[j_of]
-            back2 = np.where(j >= 0, level.back2[np.maximum(j, 0)], 0) / -float(STEP)
-            place = np.where(j >= 0, j - before[0][back], -1)
-            k = level.third.at(place, *third[:, i_of])
-            shorter = back2 + np.where(some[i_of], q2, back1 + low[s])
-            out[s] = np.where(k >= 0, level.prob3[np.maximum(k, 0)] / -float(STEP), shorter)
-        return out
+            begin, end = level.to_third.both(i[some])
+            third[:, some] = begin, end, level.third.base(begin)
+            q = level.back1[w][which] / -float(STEP) + shorter[s]
+            q[some] = level.prob2[i[some]] / -float(STEP)
+            shorter[s] = q
+            b, _, j, begin = placed(level.to_before, level.before, before_one, two)
+            back2[b] = np.where(j >= 0, level.back2[np.maximum(j, 0)], 0) / -float(STEP)
+            place = np.where(j >= 0, j - begin, -1)
+            t = slice(*np.searchsorted(to_pair, (s.start, s.stop)).tolist())
+            k = level.third.at(place[to_before[t] - b.start], *third[:, to_pair[t] - s.start])
+            out[t] = np.where(k >= 0, level.prob3[np.maximum(k, 0)] / -float(STEP), np.nan)
+        return np.where(np.isnan(out), back2[to_before] + shorter[to_pair], out)[of]
 
 
 def train(chunks: DataFrame, to: str, per_range: int = RANGE) -> Model:
@@ -342,13 +377,14 @@ def score(chunks: DataFrame, model: Model) -> DataFrame:
         wide = int(lookup.starts(model.to)[-1]) + 1
         for b in batches:
             for i in range(b.num_rows):
-                words, sizes = _ids(b, i, model.to)
-                two, one, token = steps_of(words, sizes, wide - 1)
-                c = model.counts(token, wide)
+                own, which = np.unique(np.append(lookup.places(model.to, _words(b, i)), wide - 1), return_inverse=True)
+                words, sizes = _ids(b, i, which)
+                two, one, token = steps_of(words, sizes, len(own) - 1)
+                c = model.counts(own, wide)
                 low = np.log10((c + 1) / (model.all + model.distinct + 1))
                 at = np.cumsum(sizes + 1) - (sizes + 1)
-                full = model.log10(two, one, token, wide, low)
-                yield pa.RecordBatch.from_arrays([b.column("ids")[i].values, pa.array(sizes + 1), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.add.reduceat(low, at)), pa.array(np.add.reduceat(full, at))], names=names)
+                full = model.log10(own, low, two, one, token)
+                yield pa.RecordBatch.from_arrays([b.column("ids")[i].values, pa.array(sizes + 1), pa.array(np.add.reduceat((c > 0)[token].astype(np.int64), at)), pa.array(np.add.reduceat(low[token], at)), pa.array(np.add.reduceat(full, at))], names=names)
 
     return chunks.select("ids", "words", "seq_n", "seq").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
