@@ -9,6 +9,8 @@ from ..operators import graph, upsert
 from ..schema import EDGES, HUBS, NODES, BundleError
 
 VERSION = 1
+#: Most top folders of ids by which edges are sorted out.
+FOLDERS = 1000
 SCHEMA = f"version int, name string, created_at long, nodes array<struct<{', '.join(c.replace(' ', ':', 1) for c in NODES.split(', '))}>>, edges array<struct<{', '.join(c.replace(' ', ':', 1) for c in EDGES.split(', '))}>>"
 
 
@@ -19,6 +21,11 @@ def closure(nodes: DataFrame, edges: DataFrame, scope: str | None = None, decoup
     if decouple:
         nodes = nodes.where(F.col("node_type") != "symbol").withColumns({"file_path": F.lit(None).cast("string"), "symbol_hash": F.lit(None).cast("long")})
     ids = nodes.select("id")
+    # an end in a folder that holds none of the nodes is out before anything moves
+    folder = lambda c: F.substring_index(c, "/", 1)
+    folders = [r[0] for r in ids.where("id is not null").select(folder(F.col("id"))).distinct().limit(FOLDERS + 1).collect()]
+    if len(folders) <= FOLDERS:
+        edges = edges.where(folder(F.col("source_id")).isin(*folders) & folder(F.col("target_id")).isin(*folders))
     edges = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     return nodes, edges
 
