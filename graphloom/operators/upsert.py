@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..schema import MAIN, is_auto
 
+ROWS_A_TASK = 1_000_000
+
 
 def nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows by id: new ones win, created_at is that of the first, an empty scope is main."""
@@ -16,9 +18,13 @@ def nodes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows by (source, target, relation): weight and decay of the new, created_at of the old."""
+    """Rows by (source, target, relation): weight and decay of the new, created_at of the old.
+
+    Rows are shared out before they are sorted, ROWS_A_TASK or so a task.
+    """
     key = ["source_id", "target_id", "relation_type"]
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    both = both.repartition(-(-both.count() // ROWS_A_TASK) or 1, *key)
     return both.groupBy(*key).agg(*[F.max_by(c, F.struct("_new", "created_at", "weight")).alias(c) for c in ("weight", "decay_rate")], F.min_by("created_at", F.struct("_new", "created_at")).alias("created_at")).select(*old.columns)
 
 
